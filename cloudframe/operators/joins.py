@@ -73,13 +73,14 @@ def near_pairs(left: DataFrame, right: DataFrame, radius: float, dims: tuple[str
 
 
 def radius_neighbors(points: DataFrame, radius: float, dims: tuple[str, ...] = XYZ, strict: bool = False,
-                     include_self: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+                     include_self: bool = False, carry: tuple[str, ...] = (),
+                     carry_left: tuple[str, ...] = ()) -> DataFrame:
     """Edges of all pairs with ``0 < dist <= radius`` (``<`` when ``strict``).
 
     ``points`` may be ``positions(...)`` with its multiplicity in ``carry=('m',)``; feature operators then weight the
-    neighbour by the number of points it stands for.
+    neighbour by the number of points it stands for.  ``carry_left`` keeps columns of the centre.
     """
-    pairs = near_pairs(points, points, radius, dims, strict, carry)
+    pairs = near_pairs(points, points, radius, dims, strict, carry, carry_left)
     if include_self:
         return pairs.where((C("dist") > 0) | (C("point_id") == C("nid")))
     return pairs.where(C("dist") > 0)

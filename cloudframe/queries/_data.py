@@ -95,6 +95,7 @@ CURVES = """curves AS (SELECT user_id AS curve_id,
 
 
 def select_sql(ctes: list[str] | str, body: str) -> str:
+    """One statement from CTEs and a body; the body may begin with further CTEs after a comma."""
     ctes = [ctes] if isinstance(ctes, str) else ctes
     return "WITH " + ",\n".join(ctes) + "\n" + body
 
