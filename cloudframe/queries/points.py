@@ -181,8 +181,8 @@ def voxel_trace(spark, sf):
     return smoothing.voxel_downsample(d.points(spark, sf), 2.5)[0].select("point_id", "voxel")
 
 
-@query("overlap_percent", _p(f"""SELECT a, b, {Q('100.0::DOUBLE * both / (na + nb - both)', 4)} AS overlap FROM (
-  SELECT l.cloud_id AS a, r.cloud_id AS b, count(*) AS both FROM c l JOIN c r USING (i, j) WHERE l.cloud_id < r.cloud_id GROUP BY 1, 2)
+@query("overlap_percent", _p(f"""SELECT a, b, {Q('100.0::DOUBLE * n_both / (na + nb - n_both)', 4)} AS overlap FROM (
+  SELECT l.cloud_id AS a, r.cloud_id AS b, count(*) AS n_both FROM c l JOIN c r USING (i, j) WHERE l.cloud_id < r.cloud_id GROUP BY 1, 2)
   JOIN (SELECT cloud_id AS a, count(*) AS na FROM c GROUP BY 1) USING (a) JOIN (SELECT cloud_id AS b, count(*) AS nb FROM c GROUP BY 1) USING (b)""", [
     "c AS (SELECT DISTINCT cloud_id, floor((x - x0) / 0.8::DOUBLE) AS i, floor((y - y0) / 0.8::DOUBLE) AS j FROM pts, (SELECT min(x) AS x0, min(y) AS y0 FROM pts))"]))
 def overlap_percent(spark, sf):
@@ -375,10 +375,10 @@ def sinkhole_check(spark, sf):
 # --- triangles: consecutive customers in threes ---------------------------------------------------------------------------
 
 VERTS = "verts AS (SELECT c_custkey AS point_id, (c_custkey * 37 % 101)::DOUBLE AS x, (c_custkey * 53 % 97)::DOUBLE AS y, c_acctbal / 1000 AS z FROM customer)"
-TRI = """tri AS (SELECT t.tri_id, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by, b.z AS bz, c.x AS cx, c.y AS cy, c.z AS cz FROM
+TRI = """tri AS (SELECT t.tri_id, a.x AS ax, a.y AS ay, a.z AS az, b.x AS qx, b.y AS qy, b.z AS qz, c.x AS cx, c.y AS cy, c.z AS cz FROM
   (SELECT c_custkey AS tri_id FROM customer) t JOIN verts a ON a.point_id = tri_id JOIN verts b ON b.point_id = tri_id + 1 JOIN verts c ON c.point_id = tri_id + 2)"""
-MEAS = """meas AS (SELECT *, abs((bx-ax)*(cy-ay) - (by-ay)*(cx-ax)) / 2 AS area, sqrt((ax-bx)**2 + (ay-by)**2 + (az-bz)**2) AS ab,
-  sqrt((bx-cx)**2 + (by-cy)**2 + (bz-cz)**2) AS bc, sqrt((cx-ax)**2 + (cy-ay)**2 + (cz-az)**2) AS ca FROM tri)"""
+MEAS = """meas AS (SELECT *, abs((qx-ax)*(cy-ay) - (qy-ay)*(cx-ax)) / 2 AS area, sqrt((ax-qx)**2 + (ay-qy)**2 + (az-qz)**2) AS ab,
+  sqrt((qx-cx)**2 + (qy-cy)**2 + (qz-cz)**2) AS bc, sqrt((cx-ax)**2 + (cy-ay)**2 + (cz-az)**2) AS ca FROM tri)"""
 
 
 def _triangles(spark, sf):
@@ -406,7 +406,7 @@ def trim_triangles(spark, sf):
     return polygons.trim_triangles(_triangles(spark, sf)[2], 75).select("tri_id")
 
 
-@query("point_in_triangle", f"""WITH {VERTS}, {TRI}, s AS (SELECT tri_id, s_suppkey AS point_id, (bx-ax)*(y-ay) - (by-ay)*(x-ax) AS p, (cx-bx)*(y-by) - (cy-by)*(x-bx) AS q, (ax-cx)*(y-cy) - (ay-cy)*(x-cx) AS r
+@query("point_in_triangle", f"""WITH {VERTS}, {TRI}, s AS (SELECT tri_id, s_suppkey AS point_id, (qx-ax)*(y-ay) - (qy-ay)*(x-ax) AS p, (cx-qx)*(y-qy) - (cy-qy)*(x-qx) AS q, (ax-cx)*(y-cy) - (ay-cy)*(x-cx) AS r
   FROM tri, (SELECT s_suppkey, (s_suppkey * 29 % 101)::DOUBLE AS x, (s_suppkey * 31 % 97)::DOUBLE AS y FROM supplier))
 SELECT tri_id, point_id, CASE WHEN least(p, q, r) > 0 OR greatest(p, q, r) < 0 THEN 1 ELSE 0 END AS place FROM s WHERE least(p, q, r) >= 0 OR greatest(p, q, r) <= 0""")
 def point_in_triangle(spark, sf):
@@ -426,7 +426,7 @@ def triangle_ring_neighbors(spark, sf):
 
 @query("project_images", _p("""SELECT point_id, r, g FROM (SELECT point_id, r, g, row_number() OVER (PARTITION BY point_id ORDER BY img_id DESC) AS k FROM (
   SELECT point_id, img_id, floor(u / w)::INT AS col, floor(v / w)::INT AS "row" FROM (
-    SELECT point_id, r_regionkey AS img_id, 10 * x + r_regionkey AS u, 8 * y - 3 * z AS v, 1 + 0.1::DOUBLE * z - r_regionkey * 0.2::DOUBLE AS w FROM pts, region) WHERE w > 0)
+    SELECT point_id, r_regionkey AS img_id, 10 * x + r_regionkey AS u, 8 * y - 3 * z AS v, 0.1::DOUBLE * z + (1 - r_regionkey * 0.2::DOUBLE) AS w FROM pts, region) WHERE w > 0)
   JOIN (SELECT r_regionkey AS img_id, p_partkey::INT % 300 AS "row", p_size * 7 AS col, max(p_partkey) AS r, max(p_size) AS g FROM part, region GROUP BY 1, 2, 3) px USING (img_id, "row", col)) WHERE k = 1"""))
 def project_images(spark, sf):
     """One camera per region; the pixels that carry a colour come from the parts."""
