@@ -226,7 +226,7 @@ def thin_curve(curves: DataFrame, step: float) -> DataFrame:
     jumps = cut_lineage(jumps)
     kept = curves.select("curve_id", F.lit(0).cast("bigint").alias("_at")).distinct()
     while not jumps.isEmpty():
-        moved = kept.join(jumps, (kept["curve_id"] == jumps["curve_id"]) & (kept["_at"] == jumps["_from"])).select(kept["curve_id"], C("_to").alias("_at"))
+        moved = kept.withColumnRenamed("_at", "_from").join(jumps, ["curve_id", "_from"]).select("curve_id", C("_to").alias("_at"))
         kept = cut_lineage(kept.union(moved).distinct())
         nxt = jumps.select("curve_id", C("_from").alias("_at2"), C("_to").alias("_mid")).join(
             jumps.select("curve_id", C("_from").alias("_mid"), "_to"), ["curve_id", "_mid"])

@@ -31,7 +31,7 @@ PTS = """pts AS (
 
 
 def edges_sql(radius: float, source: str = "pts", name: str = "edges", dims: str = "xyz", strict: bool = False,
-              left: str | None = None) -> str:
+              left: str | None = None, extra: str = "") -> str:
     """CTEs for all pairs of a radius neighbourhood (distance 0 left out unless ``left`` differs from ``source``)."""
     left = left or source
     cell = lambda a: f"floor({a} / {radius}::DOUBLE)::BIGINT"
@@ -43,8 +43,8 @@ def edges_sql(radius: float, source: str = "pts", name: str = "edges", dims: str
     zero = "" if left != source else "dist > 0 AND "
     return f"""{name}_l AS (SELECT *, {grid} FROM {left} CROSS JOIN {offsets}),
 {name}_r AS (SELECT *, {grid} FROM {source}),
-{name} AS (SELECT * FROM (
-  SELECT a.point_id, b.point_id AS nid, {deltas}, sqrt({squares}) AS dist
+{name} AS MATERIALIZED (SELECT * FROM (
+  SELECT a.point_id, b.point_id AS nid, {deltas}, sqrt({squares}) AS dist{extra}
   FROM {name}_l a JOIN {name}_r b ON {match}) WHERE {zero}dist {'<' if strict else '<='} {radius}::DOUBLE)"""
 
 

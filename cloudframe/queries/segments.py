@@ -13,37 +13,38 @@ from cloudframe.registry import Q, q, query
 
 C = F.col
 
-# Labels of the points: the ship mode of the order line stands in for a segment number with gaps.
-LABELS = "labels AS (SELECT point_id, (x * 3)::BIGINT AS label FROM pts)"
+# Labels of the points: three times the quantity, a segment number with gaps.
+LABELS = "lab AS MATERIALIZED (SELECT point_id, (x * 3)::BIGINT AS label FROM pts)"
 
 
 def _labels(spark, sf):
     return d.points(spark, sf).select("point_id", (C("x") * 3).cast("bigint").alias("label"))
 
 
-@query("segment_sizes", d.select_sql([d.PTS, LABELS], "SELECT label, count(*) AS n FROM labels GROUP BY 1"))
+@query("segment_sizes", d.select_sql([d.PTS, LABELS], "SELECT label, count(*) AS n FROM lab GROUP BY 1"))
 def segment_sizes(spark, sf):
     return graph.segment_sizes(_labels(spark, sf))
 
 
-@query("relabel_dense", d.select_sql([d.PTS, LABELS], "SELECT point_id, dense_rank() OVER (ORDER BY label) - 1 AS label FROM labels"))
+@query("relabel_dense", d.select_sql([d.PTS, LABELS], "SELECT point_id, dense_rank() OVER (ORDER BY label) - 1 AS label FROM lab"))
 def relabel_dense(spark, sf):
     return graph.relabel_dense(_labels(spark, sf)).select("point_id", "label")
 
 
-@query("labels_check", d.select_sql([d.PTS, LABELS], "SELECT count(DISTINCT label) AS segments, min(label) = 0 AND max(label) = count(DISTINCT label) - 1 AS contiguous FROM labels"))
+@query("labels_check", d.select_sql([d.PTS, LABELS], "SELECT count(DISTINCT label) AS segments, min(label) = 0 AND max(label) = count(DISTINCT label) - 1 AS contiguous FROM lab"))
 def labels_check(spark, sf):
     return graph.labels_check(_labels(spark, sf))
 
 
-@query("update_labels", d.select_sql([d.PTS, LABELS], """SELECT point_id, CASE WHEN y > 40 AND label + 30 IN (SELECT label FROM labels) THEN label + 30 ELSE label END AS label FROM labels JOIN pts USING (point_id)"""))
+@query("update_labels", d.select_sql([d.PTS, LABELS], """SELECT point_id, CASE WHEN y > 40 AND label + 30 IN (SELECT label FROM lab) THEN label + 30 ELSE label END AS label FROM lab JOIN pts USING (point_id)"""))
 def update_labels(spark, sf):
     labels = _labels(spark, sf)
     wanted = d.points(spark, sf).where("y > 40").select("point_id", ((C("x") * 3).cast("bigint") + 30).alias("label"))
     return graph.update_labels(labels, wanted).select("point_id", "label")
 
 
-@query("segment_adjacency", d.select_sql([d.PTS, LABELS, d.edges_sql(1.05)], """SELECT DISTINCT a.label, b.label AS neighbor FROM edges JOIN labels a ON a.point_id = edges.point_id JOIN labels b ON b.point_id = edges.nid WHERE a.label <> b.label"""))
+@query("segment_adjacency", d.select_sql([d.PTS, d.edges_sql(1.05, extra=", (a.x * 3)::BIGINT AS label, (b.x * 3)::BIGINT AS neighbor")],
+                                         "SELECT DISTINCT label, neighbor FROM edges WHERE label <> neighbor"))
 def segment_adjacency(spark, sf):
     return graph.segment_adjacency(_labels(spark, sf), joins.radius_neighbors(d.points(spark, sf), 1.05))
 
