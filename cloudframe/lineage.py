@@ -4,16 +4,14 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and return a DataFrame that reads it back.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share: the one the session names in ``spark.checkpoint.dir``.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``.  Only a local master, where driver and
-    executors share one disk, gets a folder of its own when the setting is missing.
+    Only a local master, where driver and executors share one disk, gets a folder of its own when the setting is missing.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -22,4 +20,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="cloudframe-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder and return a DataFrame that reads it back."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
