@@ -58,7 +58,7 @@ def normalize_curvature(df: DataFrame, column: str, out: str) -> DataFrame:
     df = df.withColumn("_core", F.when(F.abs(C(column) - C("_s.mean")) <= 3 * C("_s.std"), C(column))).drop("_s")
     limits = df.agg(F.struct(F.min("_core").alias("lo"), F.max("_core").alias("hi")).alias("s")).scalar()
     df = df.withColumn("_s", limits)
-    scaled = 2 * (C("_core") - C("_s.lo")) / (C("_s.hi") - C("_s.lo")) - 1
+    scaled = F.try_divide(2 * (C("_core") - C("_s.lo")), C("_s.hi") - C("_s.lo")) - 1
     return df.withColumn(out, F.when(C("_core").isNotNull(), scaled).when(C(column).isNotNull(), OUTLIER)).drop("_s", "_core")
 
 

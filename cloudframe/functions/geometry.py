@@ -143,7 +143,7 @@ def transform_by_poses(points: DataFrame, poses: DataFrame) -> DataFrame:
 def euler_from_matrix(m: Column, width: int = 3) -> dict[str, Column]:
     """Angles in degrees of ``Rx(omega) Ry(phi) Rz(kappa)`` from an array of rows (``width`` entries per row)."""
     e = lambda i, j: m[i * width + j]
-    return {"omega": F.degrees(F.atan(-e(1, 2) / e(2, 2))), "phi": F.degrees(F.asin(e(0, 2))),
+    return {"omega": F.degrees(F.atan(F.try_divide(-e(1, 2), e(2, 2)))), "phi": F.degrees(F.asin(e(0, 2))),
             "kappa": F.degrees(F.atan2(-e(0, 1), e(0, 0)))}
 
 

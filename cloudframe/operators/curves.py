@@ -80,9 +80,9 @@ def reclassify_outlines(curves: DataFrame, eps: float) -> DataFrame:
 
 def _frenet(df: DataFrame, dims: list[str], before: str, here: str, after: str, spacing: Column) -> DataFrame:
     """Tangent, normal direction and curvature from three struct columns (coordinates and cdf) and their mean spacing."""
-    out = df.withColumns({f"t{d}": (C(f"{after}.{d}") - C(f"{before}.{d}")) / (C(f"{after}.cdf") - C(f"{before}.cdf")) for d in dims})
+    out = df.withColumns({f"t{d}": F.try_divide(C(f"{after}.{d}") - C(f"{before}.{d}"), C(f"{after}.cdf") - C(f"{before}.cdf")) for d in dims})
     out = out.withColumn("_h", spacing).withColumns({
-        f"_n{d}": (C(f"{after}.{d}") - 2 * C(f"{here}.{d}") + C(f"{before}.{d}")) / (C("_h") * C("_h")) for d in dims})
+        f"_n{d}": F.try_divide(C(f"{after}.{d}") - 2 * C(f"{here}.{d}") + C(f"{before}.{d}"), C("_h") * C("_h")) for d in dims})
     size = F.sqrt(sum((C(f"_n{d}") * C(f"_n{d}") for d in dims[1:]), C(f"_n{dims[0]}") * C(f"_n{dims[0]}")))
     out = out.withColumn("curvature", size)
     return out.withColumns({f"n{d}": F.when(C("curvature") > 0, C(f"_n{d}") / C("curvature")) for d in dims})
@@ -104,7 +104,7 @@ def tangent_normal(curves: DataFrame) -> DataFrame:
                              "_b": F.when(first, C("_n")).when(last, C("_p")).otherwise(C("_0")),
                              "_c": F.when(first, C("_nn")).when(last, C("_0")).otherwise(C("_n"))})
     near = _frenet(near, dims, "_a", "_b", "_c", (C("_c.cdf") - C("_a.cdf")) / 2)
-    one = lambda a, b, d: (C(f"{b}.{d}") - C(f"{a}.{d}")) / (C(f"{b}.cdf") - C(f"{a}.cdf"))
+    one = lambda a, b, d: F.try_divide(C(f"{b}.{d}") - C(f"{a}.{d}"), C(f"{b}.cdf") - C(f"{a}.cdf"))
     near = near.withColumns({f"t{d}": F.when(first & ~last, one("_0", "_n", d)).when(last & ~first, one("_p", "_0", d)).otherwise(C(f"t{d}")) for d in dims})
     binormal = []
     if len(dims) == 3:
@@ -195,7 +195,7 @@ def curve_smoothing(curves: DataFrame, step: int) -> DataFrame:
     names = [f"_{s}{i}" for i in range(1, step + 1) for s in "pn"]
     near = halo.withColumns({f"_{s}{i}": f(v, i).over(w) for i in range(1, step + 1) for s, f in (("p", F.lag), ("n", F.lead))})
     near = _core(near)
-    weights = {n: 1 / _distance([C(f"{n}.{d}") for d in dims], [C(d) for d in dims]) for n in names}
+    weights = {n: F.try_divide(F.lit(1.0), _distance([C(f"{n}.{d}") for d in dims], [C(d) for d in dims])) for n in names}
     near = near.withColumns({f"_w{n}": e for n, e in weights.items()})
     total = sum((C(f"_w{n}") for n in names[1:]), C(f"_w{names[0]}"))
     moved = lambda d: C(d) + sum((C(f"_w{n}") * (C(f"{n}.{d}") - C(d)) for n in names[1:]), C(f"_w{names[0]}") * (C(f"{names[0]}.{d}") - C(d))) / total

@@ -105,18 +105,18 @@ def normal_weighted(edges: DataFrame) -> DataFrame:
     w = multiplicity(edges) * gaussian_density(C("dist"), C("reach") / 3)
     sums = edges.groupBy("point_id").agg((F.sum(multiplicity(edges)) + 1).alias("_n"), F.sum(w).alias("_w"), *(
         F.sum(w * C(f"d{a}") * C(f"d{b}")).alias(f"_s{a}{b}") for a, b in PAIRS)).where(C("_n") > 5)
-    cov = sums.select("point_id", *((C(f"_s{a}{b}") / C("_w")).alias(f"c{a}{b}") for a, b in PAIRS))
+    cov = sums.select("point_id", *(F.try_divide(f"_s{a}{b}", "_w").alias(f"c{a}{b}") for a, b in PAIRS))
     return normals_from_tensors(cov)
 
 
 def dip_direction(normal: list[Column]) -> Column:
     """``asin`` of the horizontal share of the normal (radians)."""
-    return F.asin(F.least(F.lit(1.0), F.sqrt(normal[0] * normal[0] + normal[1] * normal[1]) / linalg.norm(normal)))
+    return F.asin(F.least(F.lit(1.0), F.try_divide(F.sqrt(normal[0] * normal[0] + normal[1] * normal[1]), linalg.norm(normal))))
 
 
 def incidence_angle(ray: list[Column], normal: list[Column]) -> Column:
     """Angle in degrees between the ray from the scanner and the normal."""
-    cosine = linalg.dot(ray, normal) / (linalg.norm(ray) * linalg.norm(normal))
+    cosine = F.try_divide(linalg.dot(ray, normal), linalg.norm(ray) * linalg.norm(normal))
     return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
 
 
@@ -145,12 +145,12 @@ def incidence_angles(points: DataFrame, normals: DataFrame) -> DataFrame:
 
 def tensor_shape(tensors: DataFrame) -> DataFrame:
     """Add dimensionality shares, surface variation and the class point / line / plane to a table with l1 <= l2 <= l3."""
-    total = C("l1") + C("l2") + C("l3")
+    total = F.nullif(C("l1") + C("l2") + C("l3"), F.lit(0.0))
     s1, s2, s3 = (F.sqrt(C(c)) for c in ("l3", "l2", "l1"))
     near = lambda low: (C("l3") < 10 * C(low))  # the largest is less than ten times this one
     return tensors.withColumns({
         "p1": C("l3") / total, "p2": C("l2") / total, "p3": C("l1") / total,
-        "a1d": (s1 - s2) / s1, "a2d": (s2 - s3) / s1, "a3d": s3 / s1, "variation": C("l1") / total,
+        "a1d": F.try_divide(s1 - s2, s1), "a2d": F.try_divide(s2 - s3, s1), "a3d": F.try_divide(s3, s1), "variation": C("l1") / total,
         "shape": F.when(near("l2") & near("l1"), "point").when(C("l3") / total > 0.6, "line").otherwise("plane")})
 
 
@@ -315,8 +315,8 @@ def curvature_euler(edges: DataFrame, normal: tuple[str, ...] = ("cnx", "cny", "
     flat = F.sqrt(C("dx") * C("dx") + C("dy") * C("dy"))
     local = edges.withColumn("_flat", flat).where(C("_flat") > 0)
     local = local.withColumn("_nxy", (C("dx") * C("nx") + C("dy") * C("ny")) / C("_flat"))
-    local = local.withColumn("_kn", -C("_nxy") / (F.sqrt(C("_nxy") * C("_nxy") + C("nz") * C("nz")) * C("_flat")))
-    slope = F.when(C(normal[0]) == 0, F.signum(C(normal[1])) * (math.pi / 2)).otherwise(F.atan(C(normal[1]) / C(normal[0])))
+    local = local.withColumn("_kn", F.try_divide(-C("_nxy"), F.sqrt(C("_nxy") * C("_nxy") + C("nz") * C("nz")) * C("_flat")))
+    slope = F.when(C(normal[0]) == 0, F.signum(C(normal[1])) * (math.pi / 2)).otherwise(F.atan(F.try_divide(normal[1], normal[0])))
     local = local.withColumn("_phi", slope)
     local = local.withColumn("_t", F.abs(F.atan2(F.cos("_phi"), -F.sin("_phi")) - F.atan2(C("dy"), C("dx"))))
     local = local.withColumns({"_a": F.cos("_t") * F.cos("_t"), "_b": 2 * F.cos("_t") * F.sin("_t"),

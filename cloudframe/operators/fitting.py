@@ -248,7 +248,7 @@ def register_2d(pairs: DataFrame) -> DataFrame:
     m = pairs.agg(*(F.avg(c).alias(f"_m{c}") for c in ("x", "y", "wx", "wy")), *(
         F.covar_pop(p, q).alias(f"_{p}_{q}") for p, q in (("x", "wx"), ("y", "wy"), ("y", "wx"), ("x", "wy"))),
         F.var_pop("x").alias("_vx"), F.var_pop("y").alias("_vy"))
-    m = m.withColumns({"a": (C("_x_wx") + C("_y_wy")) / (C("_vx") + C("_vy")), "b": (C("_y_wx") - C("_x_wy")) / (C("_vx") + C("_vy"))})
+    m = m.withColumns({"a": F.try_divide(C("_x_wx") + C("_y_wy"), C("_vx") + C("_vy")), "b": F.try_divide(C("_y_wx") - C("_x_wy"), C("_vx") + C("_vy"))})
     return m.select((C("_mwx") - C("a") * C("_mx") - C("b") * C("_my")).alias("tx"), (C("_mwy") + C("b") * C("_mx") - C("a") * C("_my")).alias("ty"), "a", "b")
 
 

@@ -258,7 +258,7 @@ def color_normalize(df: DataFrame, channels: tuple[str, ...] = ("r", "g", "b"))
     high = F.greatest(*(F.max(c) for c in channels))
     stats = df.agg(F.struct(low.alias("lo"), high.alias("hi")).alias("s")).scalar()
     return df.withColumn("_s", stats).withColumns({
-        f"{c}_norm": (C(c) - C("_s.lo")) / (C("_s.hi") - C("_s.lo")) for c in channels}).drop("_s")
+        f"{c}_norm": F.try_divide(C(c) - C("_s.lo"), C("_s.hi") - C("_s.lo")) for c in channels}).drop("_s")
 
 
 def color_restore(norm: Column) -> Column:

@@ -341,7 +341,8 @@ def raster_diff(a: DataFrame, b: DataFrame) -> DataFrame:
 def region_means(image: DataFrame, heaviside: DataFrame) -> DataFrame:
     """Mean of the image inside (weights H) and outside (1 - H)."""
     j = image.join(heaviside.select("row", "col", C("value").alias("_h")), ["row", "col"])
-    return j.agg((F.sum(C("value") * C("_h")) / F.sum("_h")).alias("c1"), (F.sum(C("value") * (1 - C("_h"))) / F.sum(1 - C("_h"))).alias("c2"))
+    return j.agg(F.try_divide(F.sum(C("value") * C("_h")), F.sum("_h")).alias("c1"),
+                 F.try_divide(F.sum(C("value") * (1 - C("_h"))), F.sum(1 - C("_h"))).alias("c2"))
 
 
 # --- image saliency ---------------------------------------------------------------------------------------------------

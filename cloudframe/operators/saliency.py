@@ -28,7 +28,7 @@ def scale_values(df: DataFrame, column: str, out: str, low: float = 0.0, high: f
     """Rescale a column to [low, high]; an all-zero column stays as it is."""
     stats = df.agg(F.struct(F.min(column).alias("lo"), F.max(column).alias("hi")).alias("s")).scalar()
     df = df.withColumn("_s", stats)
-    span = C("_s.hi") - C("_s.lo")
+    span = F.nullif(C("_s.hi") - C("_s.lo"), F.lit(0.0))
     scaled = (high - low) * (C(column) - C("_s.lo")) / span + low
     return df.withColumn(out, F.when((C("_s.lo") == 0) & (C("_s.hi") == 0), C(column)).otherwise(scaled)).drop("_s")
 
@@ -69,7 +69,7 @@ def directional_saliency(edges: DataFrame, weight: Column, centre_weight: float,
         return F.sqrt(F.greatest(F.lit(0.0), C(f"{c}_2") / C(f"{c}_n") - mean * mean))
     def part(c, zeros, sigma, value):
         quiet = (C(zeros) > ZERO_SHARE * C("_active")) | ((C("_n") - 1) * std(c) / sigma < C("_limit"))
-        return F.coalesce(F.when((C("_n") < 4) | quiet, 0.0).otherwise(value / C("_sw")), F.lit(0.0))
+        return F.coalesce(F.when((C("_n") < 4) | quiet, 0.0).otherwise(F.try_divide(value, C("_sw"))), F.lit(0.0))
     out = sums.select("point_id", part("_dn", "_zn", sigma_normal, C("_swn")).alias("dn"),
                       part("_dk", "_zk", sigma_curvature, F.abs("_swk")).alias("dk"))
     out = scale_values(scale_values(out, "dn", "dn"), "dk", "dk")
@@ -157,7 +157,7 @@ def spfh(edges: DataFrame, bins: int = BINS) -> DataFrame:
     v = [C(f"_v{a}") for a in "xyz"]
     e = e.withColumns({"_ut": linalg.dot(u, t), "_wt": linalg.dot(linalg.cross(u, v), t),
                        "_alpha": linalg.dot(v, t), "_phi": linalg.dot(u, direction)})
-    theta = F.when(C("_ut") != 0, F.atan(C("_wt") / C("_ut"))).when(C("_wt") != 0, F.signum("_wt") * (math.pi / 2))
+    theta = F.when(C("_ut") != 0, F.atan(F.try_divide("_wt", "_ut"))).when(C("_wt") != 0, F.signum("_wt") * (math.pi / 2))
     e = e.withColumn("_theta", theta)
     # Rounding noise around zero must not be shifted by a full turn.
     position = lambda c: F.when(C(c) < -1e-9, C(c) + 2 * math.pi).otherwise(F.greatest(F.lit(0.0), C(c))) / (2 * math.pi) * bins

@@ -45,10 +45,10 @@ def moments(points: DataFrame, keys: list[str], weight: str | None = None, sampl
     count = F.sum(C("m")) if "m" in points.columns else F.count(F.lit(1))
     totals = moved.groupBy(*keys).agg(count.cast("bigint").alias("n"), F.first("_shift").alias("_shift"),
                                       *_sums("_d", w))
-    totals = totals.withColumns({f"_c{a}": C(f"_s{a}") / C("_w") for a in "xyz"})
+    totals = totals.withColumns({f"_c{a}": F.try_divide(f"_s{a}", "_w") for a in "xyz"})
     scale = C("n") / F.when(C("n") > 1, C("n") - 1) if sample else F.lit(1.0)
     out = totals.withColumns({f"c{a}": C(f"_c{a}") + C(f"_shift.{a}") for a in "xyz"})
-    out = out.withColumns({f"c{a}{b}": (C(f"_s{a}{b}") / C("_w") - C(f"_c{a}") * C(f"_c{b}")) * scale for a, b in PAIRS})
+    out = out.withColumns({f"c{a}{b}": (F.try_divide(f"_s{a}{b}", "_w") - C(f"_c{a}") * C(f"_c{b}")) * scale for a, b in PAIRS})
     out = _identity_below(out, min_points) if min_points else out
     return out.select(*keys, "n", "cx", "cy", "cz", *SYMMETRIC)
 
@@ -68,11 +68,11 @@ def tensor_from_neighbors(edges: DataFrame, gaussian: bool = False, about: str =
     else:
         weight = m
     sums = edges.groupBy("point_id").agg(F.sum(m).cast("bigint").alias("n"), *_sums("d", weight))
-    sums = sums.withColumns({f"c{a}": C(f"_s{a}") / C("_w") for a in "xyz"})
+    sums = sums.withColumns({f"c{a}": F.try_divide(f"_s{a}", "_w") for a in "xyz"})
     if about == "center":
-        out = sums.withColumns({f"c{a}{b}": C(f"_s{a}{b}") / C("_w") for a, b in PAIRS})
+        out = sums.withColumns({f"c{a}{b}": F.try_divide(f"_s{a}{b}", "_w") for a, b in PAIRS})
     else:
-        out = sums.withColumns({f"c{a}{b}": C(f"_s{a}{b}") / C("_w") - C(f"c{a}") * C(f"c{b}") for a, b in PAIRS})
+        out = sums.withColumns({f"c{a}{b}": F.try_divide(f"_s{a}{b}", "_w") - C(f"c{a}") * C(f"c{b}") for a, b in PAIRS})
     return _identity_below(out, min_points).select("point_id", "n", "cx", "cy", "cz", *SYMMETRIC)
 
 

@@ -250,15 +250,14 @@ def curvature_fundamental_form(spark, sf):
     """e1 AS (SELECT edges.point_id, dx, dy, sqrt(dx*dx + dy*dy) AS f, a.px AS ax, a.py AS ay, b.px AS nx, b.py AS ny, b.pz AS nz
   FROM edges JOIN nrm a ON a.point_id = edges.point_id JOIN nrm b ON b.point_id = edges.nid WHERE dx <> 0 OR dy <> 0)""",
     """e2 AS (SELECT *, (dx * nx + dy * ny) / f AS nxy, CASE WHEN ax = 0 THEN sign(ay) * pi() / 2 ELSE atan(ay / ax) END AS phi FROM e1)""",
-    """e3 AS (SELECT point_id, -nxy / (sqrt(nxy * nxy + nz * nz) * f) AS kn,
+    """e3 AS (SELECT point_id, -nxy / nullif(sqrt(nxy * nxy + nz * nz) * f, 0) AS kn,
   abs(atan2(cos(phi), -sin(phi)) - atan2(dy, dx)) AS t FROM e2)""",
     """e4 AS (SELECT point_id, kn, cos(t) * cos(t) AS a, 2 * cos(t) * sin(t) AS b, sin(t) * sin(t) AS c FROM e3 WHERE kn IS NOT NULL)""",
     """s AS (SELECT point_id, sum(a*a) AS m0, sum(a*b) AS m1, sum(a*c) AS m2, sum(b*b) AS m3, sum(b*c) AS m4, sum(c*c) AS m5,
   sum(a*kn) AS u, sum(b*kn) AS v, sum(c*kn) AS w FROM e4 GROUP BY 1)""",
     "g AS (SELECT *, m0*(m3*m5 - m4*m4) + m1*(m2*m4 - m1*m5) + m2*(m1*m4 - m2*m3) AS det0 FROM s)",
     "h AS (SELECT *, CASE WHEN abs(det0) > 1e-12 * abs(m0*m3*m5) THEN det0 END AS det FROM g)",
-    """sol AS (SELECT point_id, abs(det0) / abs(m0*m3*m5) AS health,
-  ((m3*m5 - m4*m4)*u + (m2*m4 - m1*m5)*v + (m1*m4 - m2*m3)*w) / det AS p,
+    """sol AS (SELECT point_id, ((m3*m5 - m4*m4)*u + (m2*m4 - m1*m5)*v + (m1*m4 - m2*m3)*w) / det AS p,
   ((m2*m4 - m1*m5)*u + (m0*m5 - m2*m2)*v + (m1*m2 - m0*m4)*w) / det AS q,
   ((m1*m4 - m2*m3)*u + (m1*m2 - m0*m4)*v + (m0*m3 - m1*m1)*w) / det AS r FROM h)"""], f"""
 SELECT point_id, {Q('(p + r + sqrt((p - r) * (p - r) + 4 * q * q)) / 2', 3)} AS k1,

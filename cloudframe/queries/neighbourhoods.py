@@ -48,7 +48,7 @@ def radius_knn(spark, sf):
     return joins.radius_knn(d.points(spark, sf), 4, RADIUS).select("point_id", "nid", q("dist").alias("dist"), "rank")
 
 
-@query("knn", d.select_sql([d.PTS, d.edges_sql(3.0)], f"""
+@query("knn", d.select_sql([d.PTS, d.edges_sql(4.0)], f"""
 SELECT point_id, nid, {Q('dist')} AS dist, rank::INT AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY dist, nid) AS rank FROM edges) WHERE rank <= 5"""))
 def knn(spark, sf):
@@ -172,13 +172,13 @@ def eigen3_values(spark, sf):
 
 
 @query("surface_variation", d.select_sql(EDGES + [d.TENSORS, d.eigen_sql()], f"""
-SELECT point_id, n, {Q('l1 / (l1 + l2 + l3)', 5)} AS variation FROM eig"""))
+SELECT point_id, n, {Q('l1 / nullif(l1 + l2 + l3, 0)', 5)} AS variation FROM eig"""))
 def surface_variation(spark, sf):
     """Smallest eigenvalue over the trace, per point."""
     pts, edges = position_edges(spark, sf)
     eigen = linalg.eigenvalues(tensors.tensor_from_neighbors(edges))
     return joins.per_point(pts, eigen.select("point_id", "n", "l1", "l2", "l3")).select(
-        "point_id", "n", q(C("l1") / (C("l1") + C("l2") + C("l3")), 5).alias("variation"))
+        "point_id", "n", q(F.try_divide(C("l1"), C("l1") + C("l2") + C("l3")), 5).alias("variation"))
 
 
 @query("merge_tensors", d.select_sql(d.PTS, """SELECT cloud_id, count(DISTINCT x) AS n_tensors, count(*) AS n, """ + ", ".join(

@@ -69,7 +69,7 @@ def adaptive_cells(spark, sf):
 
 
 @query("similarity_graph", d.select_sql([d.PTS,
-    "t AS (SELECT concat_ws('_', floor(x / 10)::BIGINT, floor(y / 10.4::DOUBLE)::BIGINT, floor(z / 5)::BIGINT) AS key, count(*) AS n, avg(x) AS gx, avg(y) AS gy, avg(z) AS gz, " + ", ".join(f"covar_pop({a}, {b}) AS c{a}{b}" for a, b in tensors.PAIRS) + " FROM pts GROUP BY 1)",
+    "t AS (SELECT concat_ws('_', floor(x / 10)::BIGINT, floor(y / 10.4::DOUBLE)::BIGINT, floor(z / 5)::BIGINT) AS key, count(*) AS n, avg(x) AS gx, avg(y) AS gy, avg(z) AS gz, " + ", ".join(f"CASE WHEN count(*) < 3 THEN {int(a == b)} ELSE covar_pop({a}, {b}) END AS c{a}{b}" for a, b in tensors.PAIRS) + " FROM pts GROUP BY 1)",
     d.eigen_sql("t", "e", vectors=True),
     "k AS (SELECT a.key AS a, b.key AS b, row_number() OVER (PARTITION BY a.key ORDER BY sqrt((b.gx-a.gx)*(b.gx-a.gx) + (b.gy-a.gy)*(b.gy-a.gy) + (b.gz-a.gz)*(b.gz-a.gz)), b.key) AS r FROM t a, t b WHERE a.key <> b.key)",
     """p AS (SELECT a, b, l.l3 < 5 * l.l2 OR sqrt(l.l2) > 4 AS planar, r.gx - l.gx AS ox, r.gy - l.gy AS oy, r.gz - l.gz AS oz, l.px AS lpx, l.py AS lpy, l.pz AS lpz, r.px AS rpx, r.py AS rpy, r.pz AS rpz,
