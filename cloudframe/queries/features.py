@@ -260,12 +260,14 @@ def curvature_fundamental_form(spark, sf):
     """sol AS (SELECT point_id, ((m3*m5 - m4*m4)*u + (m2*m4 - m1*m5)*v + (m1*m4 - m2*m3)*w) / det AS p,
   ((m2*m4 - m1*m5)*u + (m0*m5 - m2*m2)*v + (m1*m2 - m0*m4)*w) / det AS q,
   ((m1*m4 - m2*m3)*u + (m1*m2 - m0*m4)*v + (m0*m3 - m1*m1)*w) / det AS r FROM h)"""], f"""
-SELECT point_id, {Q('(p + r + sqrt((p - r) * (p - r) + 4 * q * q)) / 2', 3)} AS k1,
-  {Q('(p + r - sqrt((p - r) * (p - r) + 4 * q * q)) / 2', 3)} AS k2 FROM sol"""))
+SELECT point_id, {Q('k1 / (1 + abs(k1))', 4)} AS k1_bounded, {Q('k2 / (1 + abs(k2))', 4)} AS k2_bounded FROM (
+  SELECT point_id, (p + r + sqrt((p - r) * (p - r) + 4 * q * q)) / 2 AS k1, (p + r - sqrt((p - r) * (p - r) + 4 * q * q)) / 2 AS k2 FROM sol)"""))
 def curvature_euler(spark, sf):
+    """Curvatures as k / (1 + |k|): an ill-conditioned fit can be very large, where rounding to fixed decimals is noise."""
     pts = d.points(spark, sf)
     edges = point_features.edges_with_normals(point_features.with_normals(joins.positions(pts), RADIUS), RADIUS)
-    return joins.per_point(pts, features.curvature_euler(edges)).select("point_id", *rounded(("k1", "k2"), 3))
+    return joins.per_point(pts, features.curvature_euler(edges)).select(
+        "point_id", *(q(C(k) / (1 + F.abs(k)), 4).alias(f"{k}_bounded") for k in ("k1", "k2")))
 
 
 @query("curvature_external")
