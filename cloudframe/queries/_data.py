@@ -23,6 +23,11 @@ def points(spark: SparkSession, sf: str) -> DataFrame:
         (C("l_discount") * 100.0).alias("z"), C("l_tax").alias("intensity"))
 
 
+def spread_points(spark: SparkSession, sf: str) -> DataFrame:
+    """The points laid out over all cores before a distance join multiplies them (the given table is one file, one split)."""
+    return points(spark, sf).repartition("x", "y", "z")
+
+
 PTS = """pts AS (
   SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber, strftime(l_shipdate, '%Y%m%d')) AS point_id,
          l_returnflag AS cloud_id, l_quantity AS x, l_extendedprice / 2000.0::DOUBLE AS y,

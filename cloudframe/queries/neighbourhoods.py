@@ -24,20 +24,20 @@ def position_edges(spark, sf, radius=RADIUS):
 @query("radius_neighbors", d.select_sql([d.PTS, d.edges_sql(0.5)], f"""
 SELECT point_id, nid, {Q('dx')} AS dx, {Q('dy')} AS dy, {Q('dz')} AS dz, {Q('dist')} AS dist FROM edges"""))
 def radius_neighbors(spark, sf):
-    return joins.radius_neighbors(d.points(spark, sf), 0.5).select(
+    return joins.radius_neighbors(d.spread_points(spark, sf), 0.5).select(
         "point_id", "nid", q("dx").alias("dx"), q("dy").alias("dy"), q("dz").alias("dz"), q("dist").alias("dist"))
 
 
 @query("radius_neighbors_xy", d.select_sql([d.PTS, d.edges_sql(0.05, dims="xy")], f"""
 SELECT point_id, nid, {Q('dist')} AS dist FROM edges"""))
 def radius_neighbors_xy(spark, sf):
-    return joins.radius_neighbors(d.points(spark, sf), 0.05, ("x", "y")).select("point_id", "nid", q("dist").alias("dist"))
+    return joins.radius_neighbors(d.spread_points(spark, sf), 0.05, ("x", "y")).select("point_id", "nid", q("dist").alias("dist"))
 
 
 @query("radius_neighbors_with_self", d.select_sql([d.PTS, d.edges_sql(0.25)], f"""
 SELECT point_id, nid, {Q('dist')} AS dist FROM edges UNION ALL SELECT point_id, point_id, 0.0::DOUBLE FROM pts"""))
 def radius_neighbors_with_self(spark, sf):
-    return joins.radius_neighbors(d.points(spark, sf), 0.25, include_self=True).select(
+    return joins.radius_neighbors(d.spread_points(spark, sf), 0.25, include_self=True).select(
         "point_id", "nid", q("dist").alias("dist"))
 
 
@@ -45,7 +45,7 @@ def radius_neighbors_with_self(spark, sf):
 SELECT point_id, nid, {Q('dist')} AS dist, rank::INT AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY dist, nid) AS rank FROM edges) WHERE rank <= 4"""))
 def radius_knn(spark, sf):
-    return joins.radius_knn(d.points(spark, sf), 4, RADIUS).select("point_id", "nid", q("dist").alias("dist"), "rank")
+    return joins.radius_knn(d.spread_points(spark, sf), 4, RADIUS).select("point_id", "nid", q("dist").alias("dist"), "rank")
 
 
 @query("knn", d.select_sql([d.PTS, d.edges_sql(4.0)], f"""
@@ -96,7 +96,7 @@ def nearest_point_to_vertices(spark, sf):
 @query("neighbor_rank", d.select_sql([d.PTS, d.edges_sql(0.5)], """
 SELECT point_id, nid, row_number() OVER (PARTITION BY point_id ORDER BY dist, nid)::INT AS rank FROM edges"""))
 def neighbor_rank(spark, sf):
-    return joins.nearest_first(joins.radius_neighbors(d.points(spark, sf), 0.5)).select("point_id", "nid", "rank")
+    return joins.nearest_first(joins.radius_neighbors(d.spread_points(spark, sf), 0.5)).select("point_id", "nid", "rank")
 
 
 @query("grid_neighbors", d.select_sql([d.PTS, """cells AS (SELECT point_id, floor(x / 0.4::DOUBLE + 0.5::DOUBLE) AS a,
@@ -122,7 +122,7 @@ def neighborhood_stats(spark, sf):
 SELECT {Q('avg(r)')} AS mean_radius, floor(avg(n + 1))::BIGINT AS mean_size FROM (
   SELECT point_id, sum(dist) / (count(*) + 1) AS r, count(*) AS n FROM edges GROUP BY point_id)"""))
 def average_neighborhood(spark, sf):
-    edges = joins.radius_neighbors(d.points(spark, sf), RADIUS)
+    edges = joins.radius_neighbors(d.spread_points(spark, sf), RADIUS)
     return tensors.average_neighborhood(edges).select(q("mean_radius").alias("mean_radius"), "mean_size")
 
 
