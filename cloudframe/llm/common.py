@@ -65,3 +65,31 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
         one = left[k].eqNullSafe(renamed[n])
         condition = one if condition is None else condition & one
     return left.join(renamed, condition, how).drop(*([] if how in ("left_semi", "left_anti") else names.values()))
+
+
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], spread: list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """Join ``rows`` with ``table`` (one row per key), for keys that any share of ``rows`` may have.
+
+    The parts of a key that occur in ``rows`` (``salts`` at most) first fetch what ``table`` has for it; then rows and
+    parts meet by key and salt.
+    """
+    dealt = rows.withColumn("_salt", salt(*spread, salts=salts))
+    parts = dealt.select(*keys, "_salt").distinct()
+    return join_null_safe(dealt, join_null_safe(parts, table, keys, "left" if how == "left" else "inner"), [*keys, "_salt"], how).drop("_salt")
+
+
+def text_key(text: str) -> Column:
+    """Tells apart rows that share one document id."""
+    return F.xxhash64(F.coalesce(C(text), F.lit("")))
+
+
+def rows_of(docs: DataFrame, chosen: DataFrame, doc_id: str, text: str, how: str = "left_semi", once: bool = False) -> DataFrame:
+    """The rows of ``docs`` named in ``chosen`` (``_id, _hash``), with the columns of ``docs``; ``once``: repeated rows once."""
+    key, copy = fresh(docs, "text_hash", "copy_no")
+    named = chosen.select(C("_id").alias(doc_id), C("_hash").alias(key))
+    out = join_null_safe(docs.withColumn(key, text_key(text)), named, [doc_id, key], how)
+    if once:
+        from pyspark.sql import Window
+
+        out = out.withColumn(copy, F.row_number().over(Window.partitionBy(doc_id, key).orderBy(key))).where(C(copy) == 1)
+    return out.select(*docs.columns)

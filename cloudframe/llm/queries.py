@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cloudframe.llm import common, exact
+from cloudframe.llm import common, exact, mixing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,3 +30,14 @@ LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghij
            doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM d""")
 def op10_exact_dedup(spark, sf_dir):
     return exact.exact_groups(common.documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query("op3_simhash")
+def op3_simhash(spark, sf_dir):
+    groups = simhash.near_groups(common.documents(spark, sf_dir))
+    return groups.select(F.col("_id").alias("doc_id"), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op1_mixing")
+def op1_mixing(spark, sf_dir):
+    return mixing.taken(common.documents(spark, sf_dir))
