@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cloudframe.llm import common, exact, mixing, simhash
+from cloudframe.llm import common, exact, mixing, pii, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,3 +41,8 @@ def op3_simhash(spark, sf_dir):
 @query("op1_mixing")
 def op1_mixing(spark, sf_dir):
     return mixing.taken(common.documents(spark, sf_dir))
+
+
+@query("op5_pii")
+def op5_pii(spark, sf_dir):
+    return pii.digest(pii.find(common.documents(spark, sf_dir)))
