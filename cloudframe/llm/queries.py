@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cloudframe.llm import common, exact, mixing, pii, simhash
+from cloudframe.llm import common, decontaminate, exact, mixing, pii, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,3 +46,9 @@ def op1_mixing(spark, sf_dir):
 @query("op5_pii")
 def op5_pii(spark, sf_dir):
     return pii.digest(pii.find(common.documents(spark, sf_dir)))
+
+
+@query("op6_decontaminate")
+def op6_decontaminate(spark, sf_dir):
+    found = decontaminate.leaks(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select(F.col("_id").alias("doc_id"), F.col("_item").alias("item_id"), "item_words", "matched_words", "tiles", "coverage")
