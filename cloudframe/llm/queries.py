@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cloudframe.llm import common, decontaminate, exact, mixing, pii, simhash
+from cloudframe.llm import common, decontaminate, exact, language, mixing, pii, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,3 +52,10 @@ def op5_pii(spark, sf_dir):
 def op6_decontaminate(spark, sf_dir):
     found = decontaminate.leaks(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select(F.col("_id").alias("doc_id"), F.col("_item").alias("item_id"), "item_words", "matched_words", "tiles", "coverage")
+
+
+@query("op7_language")
+def op7_language(spark, sf_dir):
+    docs = common.documents(spark, sf_dir)
+    found = language.identify(docs.select("doc_id", "text"), language.fit(docs))
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
