@@ -29,16 +29,18 @@ def named(rows: DataFrame, keys: list[str], spread: list[str]) -> DataFrame:
     in its whole bucket; the (small) table of part rank and whole rank then renames the rows.  A key that a third of all
     rows share is ranked in ``SALTS`` parts and counts as ``SALTS`` rows afterwards.
     """
-    dealt = (rows.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)))
-             .withColumn("_part", C("_bucket") * common.SALTS + common.salt(*spread)))
+    others = [c for c in rows.columns if c not in keys]
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)) * common.SALTS + common.salt(*spread))
     inside = Window.partitionBy("_part").orderBy(*keys)
     ranked = dealt.withColumn("_local", F.shiftleft(C("_part"), 40) + F.dense_rank().over(inside))
-    # The first row of each distinct key in its part: the one whose predecessor in the sorted part has another rank.
-    first = (ranked.withColumn("_before", F.lag("_local").over(inside)).where(~C("_before").eqNullSafe(C("_local")))
-             .select("_bucket", "_local", *keys))
+    # A condition that always holds, on all columns: so both uses of the dealt rows need the same columns, and Spark
+    # shuffles them once for both.
+    same = F.xxhash64(*others) % 2 < 2
+    first = (ranked.withColumn("_before", F.lag("_local").over(inside)).where(~C("_before").eqNullSafe(C("_local")) & same)
+             .select(F.floor(C("_part") / common.SALTS).alias("_bucket"), "_local", *keys))
     whole = Window.partitionBy("_bucket").orderBy(*keys)
     names = first.select("_local", (F.shiftleft(C("_bucket"), RANK_BITS) + F.dense_rank().over(whole)).alias("name"))
-    return ranked.drop(*keys, "_bucket", "_part").join(names, "_local").drop("_local")
+    return ranked.select(*others, "_local").join(names, "_local").drop("_local")
 
 
 def document_names(docs: DataFrame, doc_id: str, text: str, block: int = BLOCK) -> DataFrame:
@@ -47,8 +49,7 @@ def document_names(docs: DataFrame, doc_id: str, text: str, block: int = BLOCK)
     ``_hash`` only tells apart texts that share one ``doc_id``; it plays no part in which texts count as equal.
     """
     rows = docs.select(C(doc_id).alias("_id"), F.coalesce(C(text), F.lit("")).alias("_text"))
-    # No dot-all flag can be lost this way: the class holds every character.
-    blocks = F.regexp_extract_all("_text", F.lit(rf"[\s\S]{{1,{block}}}"), F.lit(0))
+    blocks = F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
     rows = (rows.withColumn("_hash", F.xxhash64("_text")).withColumn("_blocks", blocks)
             .withColumn("_blocks", F.when(F.size("_blocks") == 0, F.array(F.lit(""))).otherwise(C("_blocks")))
             .select("_id", "_hash", F.size("_blocks").alias("_n"), F.posexplode("_blocks").alias("_i", "_block")))
