@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cloudframe.llm import common, decontaminate, exact, language, mixing, pii, simhash
+from cloudframe.llm import common, decontaminate, exact, language, mixing, pii, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,3 +59,10 @@ def op7_language(spark, sf_dir):
     docs = common.documents(spark, sf_dir)
     found = language.identify(docs.select("doc_id", "text"), language.fit(docs))
     return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark, sf_dir):
+    scored = toxicity.score(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.select(F.col("_id").alias("doc_id"), toxicity.held_out(F.col("_id")).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"), "neighbours", "terms")
