@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import string
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from cloudframe.lineage import shared_folder
 
 C = F.col
 
@@ -89,7 +92,19 @@ def rows_of(docs: DataFrame, chosen: DataFrame, doc_id: str, text: str, how: str
     named = chosen.select(C("_id").alias(doc_id), C("_hash").alias(key))
     out = join_null_safe(docs.withColumn(key, text_key(text)), named, [doc_id, key], how)
     if once:
-        from pyspark.sql import Window
-
         out = out.withColumn(copy, F.row_number().over(Window.partitionBy(doc_id, key).orderBy(key))).where(C(copy) == 1)
     return out.select(*docs.columns)
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written as Parquet to a new folder in the shared checkpoint folder and read again, and the folder."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path), path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``written`` has made."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

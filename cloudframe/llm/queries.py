@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cloudframe.llm import chat, common, decontaminate, exact, language, licenses, mixing, pii, simhash, toxicity
+from cloudframe.llm import chat, common, decontaminate, exact, language, licenses, mixing, pii, simhash, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +102,9 @@ def op2_chat_format(spark, sf_dir):
 @query("op4_licenses", licenses.oracle())
 def op4_licenses(spark, sf_dir):
     return licenses.scan(common.documents(spark, sf_dir))
+
+
+@query("op8_repeats")
+def op8_repeats(spark, sf_dir):
+    cut = suffixes.remove_repeats(common.documents(spark, sf_dir))
+    return cut.select(F.col("_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
