@@ -36,7 +36,7 @@ def features(words: list[str]) -> np.ndarray:
     short = np.array([w if len(w) <= WIDTH else w[:half] + w[-half:] for w in words], f"U{WIDTH}")
     letters = short.view(np.uint32).reshape(len(words), WIDTH)
     length = (letters != 0).sum(axis=1)
-    width = int(length.max(initial=1))
+    width = max(3, int(length.max(initial=0)))
     marked = np.zeros((len(words), width + 2), np.uint32)
     marked[:, 0], marked[:, 1:-1] = 2, letters[:, :width]
     marked[np.arange(len(words)), length + 1] = 3
@@ -52,8 +52,7 @@ def features(words: list[str]) -> np.ndarray:
     two[np.arange(width + 1)[None, :] > length[:, None]] = TABLE
     three[np.arange(width)[None, :] >= length[:, None]] = TABLE
     last = np.take_along_axis(marked, np.maximum(length[:, None] + np.array([-2, -1, 0]), 0), axis=1)
-    first = marked[:, 1:4] if width >= 3 else np.pad(marked[:, 1:-1], ((0, 0), (0, 3 - width)))
-    affix = [row(4, *first.T), row(5, *last.T)]
+    affix = [row(4, *marked[:, 1:4].T), row(5, *last.T)]
     power = np.array([pow(0x01000193, i, 1 << 32) for i in range(width)], np.uint32)
     whole = row(6, (letters[:, :width] * power).sum(axis=1, dtype=np.uint32))
     return np.column_stack([two, three, *affix, whole])

@@ -7,7 +7,7 @@ first; what a rule has matched is taken by its licence.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cloudframe.llm.common import C
 
@@ -67,7 +67,8 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     """One row per row of ``docs``: ``doc_id, licenses`` (in order, comma-joined, each mention), ``sentences`` (identifiers
     in order) and ``n_unmatched`` (known sentences that no rule took).
 
-    Sentences end at a line end, or at ``. ! ? ;`` before blanks.  NULL and empty texts have none; repeated rows are
+    Sentences end at a blank line, or at ``. ! ? ; :`` before blanks; the lines of a sentence that is not known itself are
+    looked up one by one.  NULL and empty texts have none; repeated rows are
     rows of their own.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), C(doc_id).alias("_id"), C(text).alias("_text"))
@@ -75,12 +76,16 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     hinted = F.contains(low, F.lit(HINTS[0]))
     for hint in HINTS[1:]:
         hinted = hinted | F.contains(low, F.lit(hint))
-    cut = F.split(F.regexp_replace("_text", r"([.!?;])[ \t\r]+", "$1\n"), "\n")
-    rows = rows.select("_row", "_id", F.posexplode_outer(F.when(hinted, cut)).alias("_at", "_sentence"))
-    normal = F.trim(F.regexp_replace(F.lower("_sentence"), "[^a-z0-9]+", " "))
+    sentences = F.split(F.regexp_replace(F.regexp_replace("_text", r"([.!?;:])[ \t\r\n]+", "$1\x01"), r"\n[ \t\r]*\n", "\x01"), "\x01")
+    rows = rows.select("_row", "_id", F.posexplode_outer(F.when(hinted, sentences)).alias("_at", "_sentence"))
+    lines = F.when(F.contains("_sentence", F.lit("\n")), F.concat(F.array("_sentence"), F.split("_sentence", "\n"))).otherwise(F.array("_sentence"))
+    rows = rows.select("_row", "_id", "_at", F.posexplode(lines).alias("_line", "_part"))
+    normal = F.trim(F.regexp_replace(F.lower("_part"), "[^a-z0-9]+", " "))
     known = docs.sparkSession.createDataFrame([(s, i) for i, all_ in SENTENCES.items() for s in all_], "_known string, _name string")
     rows = rows.withColumn("_normal", normal).join(F.broadcast(known), C("_normal") == C("_known"), "left")  # a fixed table
-    ordered = F.sort_array(F.collect_list(F.when(C("_name").isNotNull(), F.struct("_at", "_name"))))
+    whole = F.min(F.when(C("_name").isNotNull(), C("_line"))).over(Window.partitionBy("_row", "_at")) == 0
+    rows = rows.withColumn("_name", F.when((C("_line") == 0) | ~whole, C("_name")))
+    ordered = F.sort_array(F.collect_list(F.when(C("_name").isNotNull(), F.struct("_at", "_line", "_name"))))
     found = rows.groupBy("_row", "_id").agg(F.transform(ordered, lambda x: x["_name"]).alias("_names"))
     taken = found.withColumn("_taken", _apply(F.array_join(F.transform("_names", lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "")))
     return taken.select(C("_id").alias("doc_id"), F.array_join(F.regexp_extract_all("_taken", F.lit(r"\[([^\]]+)\]"), F.lit(1)), ",").alias("licenses"),
@@ -91,16 +96,19 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 def oracle() -> str:
     """The same in DuckDB SQL."""
     known = ", ".join(f"('{s}', '{i}')" for i, all_ in SENTENCES.items() for s in all_)
-    taken = "coalesce(string_agg('<' || name || '>', '' ORDER BY pos), '')"
+    taken = "coalesce(string_agg('<' || name || '>', '' ORDER BY pos, line), '')"
     for identifiers, licence in RULES:
         taken = f"replace({taken}, '{''.join(f'<{i}>' for i in identifiers)}', '[{licence}]')"
     return rf"""
     WITH known(known, name) AS (VALUES {known}),
     d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
-    s AS (SELECT r, doc_id, unnest(list_zip(range(len(l)), l)) AS u FROM (
-          SELECT r, doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?;])[ \t\r]+', '\1' || chr(10), 'g'), chr(10)) AS l FROM d)),
-    m AS (SELECT r, u[1] AS pos, name FROM s JOIN known ON trim(regexp_replace(lower(u[2]), '[^a-z0-9]+', ' ', 'g')) = known.known),
-    t AS (SELECT r, {taken} AS taken, string_agg(name, ',' ORDER BY pos) AS sentences FROM m GROUP BY r)
+    s AS (SELECT r, unnest(list_zip(range(len(l)), l)) AS u FROM (SELECT r, string_split(regexp_replace(regexp_replace(
+          coalesce(text, ''), '([.!?;:])[ \t\r\n]+', '\1' || chr(1), 'g'), '\n[ \t\r]*\n', chr(1), 'g'), chr(1)) AS l FROM d)),
+    p AS (SELECT r, u[1] AS pos, CASE WHEN contains(u[2], chr(10)) THEN list_concat([u[2]], string_split(u[2], chr(10))) ELSE [u[2]] END AS l FROM s),
+    q AS (SELECT r, pos, unnest(list_zip(range(len(l)), l)) AS v FROM p),
+    f AS (SELECT r, pos, v[1] AS line, name FROM q JOIN known ON trim(regexp_replace(lower(v[2]), '[^a-z0-9]+', ' ', 'g')) = known.known),
+    m AS (SELECT * FROM (SELECT *, min(line) OVER (PARTITION BY r, pos) AS least FROM f) WHERE line = 0 OR least > 0),
+    t AS (SELECT r, {taken} AS taken, string_agg(name, ',' ORDER BY pos, line) AS sentences FROM m GROUP BY r)
     SELECT doc_id, coalesce(array_to_string(regexp_extract_all(taken, '\[([^\]]+)\]', 1), ','), '') AS licenses,
            coalesce(sentences, '') AS sentences, coalesce(len(regexp_extract_all(taken, '<[^>]+>')), 0)::BIGINT AS n_unmatched
     FROM d LEFT JOIN t USING (r)"""
