@@ -177,13 +177,23 @@ def _sector_angle(dx: Column, dy: Column) -> Column:
 
 
 def neighborhood_valid(edges: DataFrame, min_points: int = 5, min_points_in_sector: float = 2, valid_sectors: int = 7,
-                       num_sectors: int = 8, sectors: str = "reference", delta: tuple[str, str] = ("dx", "dy")) -> DataFrame:
+                       num_sectors: int = 8, sectors: str = "reference", delta: tuple[str, str] = ("dx", "dy"),
+                       points: DataFrame | None = None) -> DataFrame:
     """Per point: ``n``, number of populated sectors and ``valid``.
 
     ``sectors='reference'``: starts spread evenly over 0..270 degrees, each as wide as 180 / (num_sectors / 2), closed on
     both sides, the centre counted at angle 0 (the sectors overlap).  ``'even'``: eight half-open sectors of 45 degrees.
-    Valid means more than ``min_points`` neighbours and at least ``valid_sectors`` populated sectors.
+    Valid means more than ``min_points`` neighbours and at least ``valid_sectors`` populated sectors.  With ``points``
+    those without edges have a row too: 0, 0 and false.
     """
+    sums, starts = sector_sums(edges, num_sectors, sectors, delta)
+    out = _validity(edges.groupBy("point_id").agg(*sums), starts, min_points, min_points_in_sector, valid_sectors, sectors)
+    out = out.select("point_id", "n", "sectors", "valid")
+    return out if points is None else joins.every(points, out, n=0, sectors=0, valid=False)
+
+
+def sector_sums(edges: DataFrame, num_sectors: int = 8, sectors: str = "reference", delta: tuple[str, str] = ("dx", "dy")) -> tuple[list[Column], list[float]]:
+    """Sums ``n`` and ``_s0, _s1, ..`` of the edges of a point, for ``neighborhood_valid``, and where the sectors start."""
     m = multiplicity(edges)
     if sectors == "reference":
         width = math.pi / (num_sectors // 2)
@@ -193,13 +203,15 @@ def neighborhood_valid(edges: DataFrame, min_points: int = 5, min_points_in_sect
         width = 2 * math.pi / num_sectors
         starts = [width * i for i in range(num_sectors)]
         inside = lambda a, s: (a > s) & (a <= s + width)
-    placed = edges.withColumn("_angle", _sector_angle(C(delta[0]), C(delta[1])))
-    counts = placed.groupBy("point_id").agg(F.sum(m).cast("bigint").alias("n"), *(
-        F.sum(F.when(inside(C("_angle"), F.lit(s)), m).otherwise(0.0)).alias(f"_s{i}") for i, s in enumerate(starts)))
+    angle = _sector_angle(C(delta[0]), C(delta[1]))
+    sums = [F.sum(F.when(inside(angle, F.lit(s)), m).otherwise(0.0)).alias(f"_s{i}") for i, s in enumerate(starts)]
+    return [F.sum(m).cast("bigint").alias("n"), *sums], starts
+
+
+def _validity(sums: DataFrame, starts: list[float], min_points: int, min_points_in_sector: float, valid_sectors: int, sectors: str) -> DataFrame:
     centre = [1 if sectors == "reference" and s == 0 else 0 for s in starts]
     populated = sum((F.when(C(f"_s{i}") + c >= min_points_in_sector, 1).otherwise(0) for i, c in enumerate(centre)), F.lit(0))
-    return counts.select("point_id", "n", populated.cast("int").alias("sectors")).withColumn(
-        "valid", (C("n") >= min_points + 1) & (C("sectors") >= valid_sectors))
+    return sums.withColumn("sectors", populated.cast("int")).withColumn("valid", (C("n") >= min_points + 1) & (C("sectors") >= valid_sectors))
 
 
 # --- curvature --------------------------------------------------------------------------------------------------------
@@ -224,6 +236,29 @@ def umbrella_curvature(edges: DataFrame, normals: DataFrame, valid: DataFrame |
     return out.select("point_id", F.coalesce(value, F.lit(invalid_value).cast("double")).alias("umbrella"))
 
 
+def umbrella_from_neighbors(points: DataFrame, edges: DataFrame, roughness: float = 0.01, alpha: float = 0.05,
+                            invalid_value: float | None = None) -> DataFrame:
+    """Tensor normal, validity and umbrella curvature of every point in one pass over its edges.
+
+    All three are sums per centre, and the normal enters after the sums, so the distance join runs once.
+    """
+    m = multiplicity(edges)
+    sectors, starts = sector_sums(edges)
+    squares = [F.sum(m * C(f"d{a}") * C(f"d{b}")).alias(f"_s{a}{b}") for a, b in PAIRS]
+    sums = edges.groupBy("point_id").agg(*sectors, *(F.sum(m * C(c)).alias(f"_{c}") for c in DELTA), *squares)
+    sums = _validity(sums, starts, 5, 2, 7, "reference").where("valid")
+    tensors = sums.withColumns({f"c{a}{b}": F.try_divide(f"_s{a}{b}", "n") for a, b in PAIRS})
+    turned = linalg.with_eigen(tensors)
+    mean = F.try_divide(linalg.dot([C(f"_{c}") for c in DELTA], [C("plate")[i] for i in range(3)]), C("n"))
+    epsilon = quantiles.normal_quantile(1 - alpha / 2) * roughness
+    out = turned.select("point_id", F.when(F.abs(mean) < epsilon, 0.0).otherwise(mean).alias("umbrella"))
+    return every_value(points, out, invalid_value)
+
+
+def every_value(points: DataFrame, values: DataFrame, invalid_value: float | None) -> DataFrame:
+    return joins.every(points, values) if invalid_value is None else joins.every(points, values, umbrella=invalid_value)
+
+
 def curvature_biquadratic(edges: DataFrame, alpha: float = 0.05, valid: DataFrame | None = None,
                           invalid_value: float | None = None, normal: tuple[str, ...] = ("cnx", "cny", "cnz")) -> DataFrame:
     """Principal curvatures of ``z = a x^2 + b y^2 + c x y`` in the frame of the normal: ``point_id, k1, k2``.

@@ -109,6 +109,10 @@ def _iterate_groups(points: DataFrame, keys: list[str], start: dict[str, Column]
     def solve(entries: pd.Series) -> pd.Series:
         out = []
         for e in entries:
+            e = np.asarray(e, float)
+            if not np.isfinite(e).all():  # a group without an answer stays NULL
+                out.append(None)
+                continue
             n = np.zeros((count, count))
             upper = np.triu_indices(count)
             n[upper] = e[:len(upper[0])]
@@ -154,19 +158,29 @@ def fit_ellipse(points: DataFrame, keys: list[str], eps: float = 1e-5, max_itera
         dx, dy, c, s = C("x") - p[0], C("y") - p[1], F.cos(p[4]), F.sin(p[4])
         u, v = dx * c + dy * s, dy * c - dx * s
         a2, b2 = p[2] * p[2], p[3] * p[3]
-        gx, gy = 2 * u * c / a2 - 2 * v * s / b2, 2 * u * s / a2 + 2 * v * c / b2
-        design = [-gx, -gy, -2 * u * u / (a2 * p[2]), -2 * v * v / (b2 * p[3]), 2 * u * v / a2 - 2 * u * v / b2]
-        return u * u / a2 + v * v / b2 - 1, design, 1 / F.greatest(F.lit(1e-12), gx * gx + gy * gy)
+        over = F.try_divide  # a group of one place has no axes: NULL
+        gx, gy = over(2 * u * c, a2) - over(2 * v * s, b2), over(2 * u * s, a2) + over(2 * v * c, b2)
+        design = [-gx, -gy, over(-2 * u * u, a2 * p[2]), over(-2 * v * v, b2 * p[3]), over(2 * u * v, a2) - over(2 * u * v, b2)]
+        return over(u * u, a2) + over(v * v, b2) - 1, design, 1 / F.greatest(F.lit(1e-12), gx * gx + gy * gy)
     return _iterate_groups(points, keys, start, terms, 5, eps, max_iterations)
 
 
 def align_principal_axes(points: DataFrame, linear_share: float = 0.65) -> DataFrame:
-    """Rotate the cloud about its centroid so that its main axis points along z (minor along x) when it is elongated."""
+    """Rotate the cloud about its centroid so that its main axis points along z (minor along x) when it is elongated.
+
+    Clouds without extent (empty, one place) stay as they are; if the two smaller eigenvalues are equal, any axis across
+    the main one will do.
+    """
     t = linalg.with_eigen(moments(points, [], min_points=0)).first()
     mean = [t["cx"], t["cy"], t["cz"]]
-    if t["l3"] / (t["l1"] + t["l2"] + t["l3"]) < linear_share:
+    if not t["l3"] or t["stick"] is None or t["stick"][0] is None or t["l3"] / (t["l1"] + t["l2"] + t["l3"]) < linear_share:
         return points
-    z, x = np.array(t["stick"]), np.array(t["plate"])
+    z = np.array(t["stick"], float)
+    if t["plate"] is None or t["plate"][0] is None:
+        x = np.cross(z, np.eye(3)[np.argmin(np.abs(z))])
+        x /= np.linalg.norm(x)
+    else:
+        x = np.array(t["plate"], float)
     rotation = np.stack([x, np.cross(z, x), z])
     shift = -rotation @ np.array(mean)
     return geometry.transform(points, rotation.tolist(), tuple(shift))

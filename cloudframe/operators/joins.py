@@ -28,10 +28,23 @@ def positions(points: DataFrame, dims: tuple[str, ...] = XYZ) -> DataFrame:
     return points.groupBy(*dims).agg(F.min("point_id").alias("point_id"), F.count(F.lit(1)).alias("m"))
 
 
+def every(points: DataFrame, features: DataFrame, **missing) -> DataFrame:
+    """``features`` for every point: points without any (no neighbour, or a NULL coordinate) get a row with the values of
+    ``missing``, NULL where none is named."""
+    out = points.select("point_id").join(features, "point_id", "left")
+    return out.withColumns({c: F.coalesce(C(c), F.lit(v).cast(features.schema[c].dataType)) for c, v in missing.items()})
+
+
 def per_point(points: DataFrame, features: DataFrame, dims: tuple[str, ...] = XYZ) -> DataFrame:
-    """Give every point the features of its position (``features`` is keyed by the position's smallest id)."""
-    located = positions(points, dims).drop("m").join(features, "point_id").drop("point_id")
-    return points.select("point_id", *dims).join(located, list(dims)).drop(*dims)
+    """Give every point the features of its position (``features`` is keyed by the position's smallest id).
+
+    No point is lost: NULL coordinates are a position too, and positions without features give NULLs.
+    """
+    located = positions(points, dims).drop("m").join(features, "point_id").drop("point_id").withColumnsRenamed({d: f"_at_{d}" for d in dims})
+    same = C(dims[0]).eqNullSafe(C(f"_at_{dims[0]}"))
+    for d in dims[1:]:
+        same = same & C(d).eqNullSafe(C(f"_at_{d}"))
+    return points.select("point_id", *dims).join(located, same, "left").drop(*dims, *(f"_at_{d}" for d in dims))
 
 
 def _cells(df: DataFrame, columns: list[str], size: float) -> DataFrame:

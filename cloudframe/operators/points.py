@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cloudframe.functions import linalg
 from cloudframe.operators.smoothing import extent
 from cloudframe.operators.tensors import PAIRS, moments
+from cloudframe.lineage import cut_lineage
 from cloudframe.ordering import global_rank
 from cloudframe.skew import salted
 
@@ -74,22 +77,21 @@ def slope_ground_filter(points: DataFrame, radius: float, slope: float) -> DataF
     """Add ``segment``: 1 (not ground) if a lower point within the XY radius lies below a slope steeper than ``slope``
     degrees, else 0.
 
-    Only the lowest z of each XY place can decide, so crowded places are folded to one row before the join, and the
-    join's output is reduced to one flag per place on the map side.
+    Only the lowest z of each XY place can decide, so crowded places are folded to one row on both sides before the join.
+    Its output becomes one height limit per place on the map side; a point above the limit of its place is not ground.
     """
     lows = points.groupBy("x", "y").agg(F.min("z").alias("_z"), F.max("z").alias("_top"))
     keys = ["_c0", "_c1"]
     cell = lambda a: F.floor(C(a) / F.lit(radius))
-    lhs = points.select("x", "y", "z").distinct()
+    lhs = lows.select("x", "y", "_top")
     for i, a in enumerate("xy"):
         lhs = lhs.withColumn(f"_c{i}", F.explode(F.array(cell(a) - 1, cell(a), cell(a) + 1)))
     rhs = lows.select(C("x").alias("_x"), C("y").alias("_y"), "_z", *(cell(a).alias(f"_c{i}") for i, a in enumerate("xy")))
-    lhs, rhs, on = salted(lhs, rhs, keys, F.struct("x", "y", "z"), F.struct("_x", "_y"))
+    lhs, rhs, on = salted(lhs, rhs, keys, F.struct("x", "y"), F.struct("_x", "_y"))
     flat = F.sqrt((C("x") - C("_x")) * (C("x") - C("_x")) + (C("y") - C("_y")) * (C("y") - C("_y")))
-    pairs = lhs.join(rhs, on).where(C("_z") < C("z")).withColumn("_flat", flat).where(C("_flat") < radius)
-    steep = pairs.where(F.degrees(F.atan2(C("z") - C("_z"), C("_flat"))) > slope).select("x", "y", "z").distinct()
-    return points.join(steep.withColumn("_hit", F.lit(1)), ["x", "y", "z"], "left").withColumn(
-        "segment", F.coalesce("_hit", F.lit(0))).drop("_hit")
+    pairs = lhs.join(rhs, on).where(C("_z") < C("_top")).withColumn("_flat", flat).where(C("_flat") < radius)
+    limits = pairs.groupBy("x", "y").agg(F.min(C("_z") + math.tan(math.radians(slope)) * C("_flat")).alias("_limit"))
+    return points.join(limits, ["x", "y"], "left").withColumn("segment", F.when(C("z") > C("_limit"), 1).otherwise(0)).drop("_limit")
 
 
 def data_snooping(df: DataFrame, column: str, stds: float) -> DataFrame:
@@ -155,26 +157,65 @@ def k_closest_values(df: DataFrame, column: str, target: float, k: int) -> DataF
     return df.withColumn("difference", F.abs(C(column) - target)).orderBy("difference", "point_id").limit(k)
 
 
-def farthest_pair(points: DataFrame, directions: int = 64) -> DataFrame:
-    """Largest XY distance between two points of each cloud, up to the resolution of the directions.
+#: Pairs of places that are compared one by one at the end of the search for the farthest pair.
+FEW_PAIRS = 5_000_000
+
+
+def farthest_pair(points: DataFrame, directions: int = 16) -> DataFrame:
+    """Largest XY distance between two points of each cloud, exactly; 0 for a single place.
 
-    A farthest pair is extreme in its own direction.  Every direction keeps its extreme point per cloud (one aggregate,
-    ``2 * directions`` rows per cloud), and only these candidates are paired.
+    The extreme points of some directions give a lower bound.  Then branch and bound over square cells: pairs of cells
+    whose farthest corners lie below the bound cannot hold the pair; what is left is split into quarters, and the
+    points of the cells (one each, any) raise the bound, until the places that are left make ``FEW_PAIRS`` pairs at most.
     """
-    import math
-    angles = [math.pi * i / directions for i in range(directions)]
+    places = cut_lineage(points.where("x IS NOT NULL AND y IS NOT NULL").select("cloud_id", "x", "y").distinct())
     extremes = []
-    place = F.struct("x", "y")
-    for i, a in enumerate(angles):
-        along = C("x") * math.cos(a) + C("y") * math.sin(a)
-        extremes += [F.max_by(place, along).alias(f"_hi{i}"), F.min_by(place, along).alias(f"_lo{i}")]
-    row = points.groupBy("cloud_id").agg(*extremes)
-    names = [f"_{e}{i}" for i in range(directions) for e in ("hi", "lo")]
-    candidates = row.select("cloud_id", F.array_distinct(F.array(*names)).alias("_c"))
-    pairs = (candidates.select("cloud_id", "_c", F.explode("_c").alias("a"))
-             .select("cloud_id", "a", F.explode("_c").alias("b")))
-    dist = F.sqrt((C("a.x") - C("b.x")) * (C("a.x") - C("b.x")) + (C("a.y") - C("b.y")) * (C("a.y") - C("b.y")))
-    return pairs.groupBy("cloud_id").agg(F.max(dist).alias("dist"))
+    for i in range(directions):
+        along = C("x") * math.cos(math.pi * i / directions) + C("y") * math.sin(math.pi * i / directions)
+        extremes += [F.max_by(F.struct("x", "y"), along).alias(f"_hi{i}"), F.min_by(F.struct("x", "y"), along).alias(f"_lo{i}")]
+    wide = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))
+    row = places.groupBy("cloud_id").agg(F.min("x").alias("_x0"), F.min("y").alias("_y0"), (wide * (1 + 1e-9) + 1e-300).alias("_side"), *extremes)
+
+    def apart(a: str, b: str) -> Column:
+        return F.sqrt((C(f"{a}.x") - C(f"{b}.x")) * (C(f"{a}.x") - C(f"{b}.x")) + (C(f"{a}.y") - C(f"{b}.y")) * (C(f"{a}.y") - C(f"{b}.y")))
+
+    row = row.withColumn("best", F.greatest(*(apart(f"_hi{i}", f"_lo{i}") for i in range(directions)))).select("cloud_id", "_x0", "_y0", "_side", "best")
+    bounds, level, pairs = cut_lineage(row), 3, None
+    open_ = places
+    while True:
+        level += 1
+        step = C("_side") / 2.0 ** level
+        cell = F.struct(F.floor((C("x") - C("_x0")) / step).alias("i"), F.floor((C("y") - C("_y0")) / step).alias("j"))
+        cells = (open_.join(bounds, "cloud_id").groupBy("cloud_id", cell.alias("c"))
+                 .agg(F.min(F.struct("x", "y")).alias("p"), F.count(F.lit(1)).alias("n")))
+        cells = cut_lineage(cells)
+        mine = cells.select("cloud_id", C("c").alias("a"), C("p").alias("pa"), C("n").alias("na"))
+        other = cells.select("cloud_id", C("c").alias("b"), C("p").alias("pb"), C("n").alias("nb"))
+        if pairs is None:  # 16 x 16 cells a cloud at most
+            pairs = mine.join(other, "cloud_id").where("a.i < b.i OR (a.i = b.i AND a.j <= b.j)")
+        else:
+            quarters = lambda n: F.explode(F.array(*(F.struct((C(f"{n}.i") * 2 + i).alias("i"), (C(f"{n}.j") * 2 + j).alias("j")) for i in (0, 1) for j in (0, 1))))
+            pairs = pairs.withColumn("a", quarters("a")).withColumn("b", quarters("b")).join(mine, ["cloud_id", "a"]).join(other, ["cloud_id", "b"])
+        gap = lambda k: F.abs(C(f"a.{k}") - C(f"b.{k}")) + 1
+        reach = F.sqrt(gap("i") * gap("i") + gap("j") * gap("j")) * step * (1 + 1e-9)
+        pairs = cut_lineage(pairs.join(bounds.select("cloud_id", "_side"), "cloud_id")
+                            .select("cloud_id", "a", "b", reach.alias("reach"), apart("pa", "pb").alias("d"), (C("na") * C("nb")).alias("n")))
+        better = pairs.groupBy("cloud_id").agg(F.max("d").alias("_d"))
+        bounds = cut_lineage(bounds.join(better, "cloud_id", "left").withColumn("best", F.greatest("best", F.coalesce("_d", F.lit(0.0)))).drop("_d"))
+        # Of the quarters of one cell each pair is needed once.
+        once = f"{int(level == 4)} = 1 OR shiftright(a.i, 1) <> shiftright(b.i, 1) OR shiftright(a.j, 1) <> shiftright(b.j, 1) OR a.i < b.i OR (a.i = b.i AND a.j <= b.j)"
+        pairs = cut_lineage(pairs.where(f"n > 1 AND ({once})").join(bounds.select("cloud_id", "best"), "cloud_id")
+                            .where(C("reach") > C("best")).select("cloud_id", "a", "b", "n"))
+        if (pairs.agg(F.sum("n")).first()[0] or 0) <= FEW_PAIRS:
+            inside = open_.join(bounds, "cloud_id").select("cloud_id", cell.alias("c"), F.struct("x", "y").alias("p"))
+            left = inside.select("cloud_id", C("c").alias("a"), C("p").alias("pa"))
+            right = inside.select("cloud_id", C("c").alias("b"), C("p").alias("pb"))
+            found = pairs.join(left, ["cloud_id", "a"]).join(right, ["cloud_id", "b"]).groupBy("cloud_id").agg(F.max(apart("pa", "pb")).alias("_d"))
+            return bounds.join(found, "cloud_id", "left").select("cloud_id", F.greatest("best", F.coalesce("_d", F.lit(0.0))).alias("dist"))
+        pairs = pairs.drop("n")
+        needed = pairs.select("cloud_id", C("a").alias("c")).union(pairs.select("cloud_id", C("b").alias("c"))).distinct()
+        inside = open_.join(bounds, "cloud_id").withColumn("c", cell).join(needed, ["cloud_id", "c"], "left_semi")
+        open_ = cut_lineage(inside.select("cloud_id", "x", "y"))
 
 
 # --- grids ------------------------------------------------------------------------------------------------------------

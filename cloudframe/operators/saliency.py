@@ -42,13 +42,14 @@ def threshold_zero(value: Column, eps: float = 1e-5) -> Column:
 
 
 def directional_saliency(edges: DataFrame, weight: Column, centre_weight: float, curvature_weight: float = 0.5,
-                         sigma_normal: float = 0.01, sigma_curvature: float = 0.1, alpha: float = 0.05) -> DataFrame:
+                         sigma_normal: float = 0.01, sigma_curvature: float = 0.1, alpha: float = 0.05,
+                         points: DataFrame | None = None) -> DataFrame:
     """``point_id, saliency, dn, dk``: how much normals and curvature differ from those of the surroundings.
 
     ``edges`` carry normals (cnx.. of the centre, nx.. of the neighbour) and curvature (ck, k).  ``weight`` is a column
     over the edges and ``centre_weight`` its value for the centre, which only counts among the active points.  A
     difference is dropped if most active neighbours show none or a chi-square test (lower tail ``alpha``) finds its
-    spread within ``sigma``.  Both parts are scaled to [0, 1] over the cloud.
+    spread within ``sigma``.  Both parts are scaled to [0, 1] over the cloud; ``points`` without edges differ by 0.
     """
     m = multiplicity(edges)
     turn = 1 - linalg.dot([C(f"cn{a}") for a in "xyz"], [C(f"n{a}") for a in "xyz"])
@@ -72,6 +73,7 @@ def directional_saliency(edges: DataFrame, weight: Column, centre_weight: float,
         return F.coalesce(F.when((C("_n") < 4) | quiet, 0.0).otherwise(F.try_divide(value, C("_sw"))), F.lit(0.0))
     out = sums.select("point_id", part("_dn", "_zn", sigma_normal, C("_swn")).alias("dn"),
                       part("_dk", "_zk", sigma_curvature, F.abs("_swk")).alias("dk"))
+    out = out if points is None else joins.every(points, out, dn=0.0, dk=0.0)
     out = scale_values(scale_values(out, "dn", "dn"), "dk", "dk")
     return out.select("point_id", ((1 - curvature_weight) * C("dn") + curvature_weight * C("dk")).alias("saliency"), "dn", "dk")
 
@@ -142,12 +144,12 @@ def saliency_value_scaling(df: DataFrame, column: str, out: str) -> DataFrame:
 
 # --- feature histograms -----------------------------------------------------------------------------------------------
 
-def spfh(edges: DataFrame, bins: int = BINS) -> DataFrame:
+def spfh(edges: DataFrame, bins: int = BINS, points: DataFrame | None = None) -> DataFrame:
     """Simplified point feature histograms: ``point_id, n, h ARRAY(3 * bins)``.
 
     Per edge, in the frame u = centre normal, v = direction x u, w = u x v: alpha = v.n, phi = u.direction,
     theta = atan(w.n / u.n); negative values are shifted by 2 pi and counted in equal bins of [0, 2 pi].  Two neighbours
-    or fewer give zeros.
+    or fewer give zeros, and so do ``points`` without edges.
     """
     m = multiplicity(edges)
     u, t = [C(f"cn{a}") for a in "xyz"], [C(f"n{a}") for a in "xyz"]
@@ -166,7 +168,9 @@ def spfh(edges: DataFrame, bins: int = BINS) -> DataFrame:
               for c in ("_alpha", "_phi", "_theta") for b in range(bins)]
     sums = e.groupBy("point_id").agg(F.sum(m).alias("n"), *counts)
     names = [f"{c}{b}" for c in ("_alpha", "_phi", "_theta") for b in range(bins)]
-    return sums.select("point_id", C("n").cast("bigint").alias("n"),
+    sums = sums.withColumn("n", C("n").cast("bigint"))
+    sums = sums if points is None else joins.every(points, sums, n=0)
+    return sums.select("point_id", "n",
                        F.array(*(F.when(C("n") <= 2, 0.0).otherwise(C(x) / C("n")) for x in names)).alias("h"))
 
 

@@ -14,7 +14,6 @@ from cloudframe.operators.smoothing import extent
 from cloudframe.operators.tensors import merge_tensors, moments
 
 C = F.col
-MAX_LEVELS = 20
 
 
 def adaptive_cells(points: DataFrame, leaf_size: int, smallest: float) -> DataFrame:
@@ -26,18 +25,18 @@ def adaptive_cells(points: DataFrame, leaf_size: int, smallest: float) -> DataFr
     placed = points.withColumn("_e", extent(points))
     side = F.greatest(*(C(f"_e.{a}_max") - C(f"_e.{a}_min") for a in "xyz"), F.lit(1e-9)) * (1 + 1e-9)
     placed = placed.withColumns({"_side": side, **{f"_u{a}": C(a) - C(f"_e.{a}_min") for a in "xyz"}}).drop("_e")
-    open_, done = placed, []
-    for level in range(MAX_LEVELS + 1):
+    open_, done, level = placed, [], 0
+    while True:  # ends: a cell whose side is below ``smallest`` has a smaller radius
         key = F.concat_ws("_", F.lit(level), *(F.floor(C(f"_u{a}") / (C("_side") / 2.0 ** level)).cast("string") for a in "xyz"))
         open_ = open_.withColumn("cell", key)
         spread = [F.max(a) - F.min(a) for a in "xyz"]
         sizes = open_.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"), (F.sqrt(sum((s * s for s in spread[1:]), spread[0] * spread[0])) / 2).alias("_radius"))
-        last = level == MAX_LEVELS
-        split = cut_lineage(sizes.where((C("_radius") >= smallest) & (C("_n") > leaf_size) & F.lit(not last)).select("cell"))
+        split = cut_lineage(sizes.where((C("_radius") >= smallest) & (C("_radius") > 0) & (C("_n") > leaf_size)).select("cell"))
         done.append(open_.join(split, "cell", "left_anti"))
         if split.isEmpty():
             break
         open_ = cut_lineage(open_.join(split, "cell", "left_semi").drop("cell"))
+        level += 1
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)

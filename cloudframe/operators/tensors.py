@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cloudframe.functions.linalg import SYMMETRIC
+from cloudframe.operators.joins import every
 
 C = F.col
 PAIRS = (("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z"))
@@ -37,8 +38,14 @@ def moments(points: DataFrame, keys: list[str], weight: str | None = None, sampl
             min_points: int = 3) -> DataFrame:
     """Tensor per group: ``n``, centroid ``cx, cy, cz`` and (weighted) covariance ``cxx .. czz`` about the centroid.
 
-    Population covariance, or with ``sample`` the n-1 form.  Without ``keys`` one row for the whole table.
+    Population covariance, or with ``sample`` the n-1 form.  Without weights one pass with Spark's own stable, mergeable
+    covariance; weighted sums are taken about the mean of the table.  Without ``keys`` one row for the whole table.
     """
+    if weight is None and "m" not in points.columns:
+        covar = F.covar_samp if sample else F.covar_pop
+        out = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(F.avg(a).alias(f"c{a}") for a in "xyz"),
+                                        *(covar(a, b).alias(f"c{a}{b}") for a, b in PAIRS))
+        return (_identity_below(out, min_points) if min_points else out).select(*keys, "n", "cx", "cy", "cz", *SYMMETRIC)
     w = C(weight) if weight else multiplicity(points)
     shift = points.agg(F.struct(*(F.avg(a).alias(a) for a in "xyz")).alias("s")).scalar()
     moved = points.withColumn("_shift", shift).withColumns({f"_d{a}": C(a) - C(f"_shift.{a}") for a in "xyz"})
@@ -54,9 +61,12 @@ def moments(points: DataFrame, keys: list[str], weight: str | None = None, sampl
 
 
 def tensor_from_neighbors(edges: DataFrame, gaussian: bool = False, about: str = "center",
-                          min_points: int = 3) -> DataFrame:
+                          min_points: int = 3, points: DataFrame | None = None) -> DataFrame:
     """Tensor per ``point_id`` from its edges; the centre itself never counts.
 
+    With ``points`` every point has a row: those without edges have ``n = 0`` and, like all below ``min_points``, the
+    identity.
+
     ``about='center'`` takes the covariance about the point, ``'centroid'`` about the mean of the neighbours.  With
     ``gaussian`` a neighbour weighs ``exp(-d^2 / 2s^2) / sqrt(2 pi s^2)``, s = a third of the neighbourhood's mean radius.
     """
@@ -73,6 +83,8 @@ def tensor_from_neighbors(edges: DataFrame, gaussian: bool = False, about: str =
         out = sums.withColumns({f"c{a}{b}": F.try_divide(f"_s{a}{b}", "_w") for a, b in PAIRS})
     else:
         out = sums.withColumns({f"c{a}{b}": F.try_divide(f"_s{a}{b}", "_w") - C(f"c{a}") * C(f"c{b}") for a, b in PAIRS})
+    if points is not None:
+        out = every(points, out, n=0)
     return _identity_below(out, min_points).select("point_id", "n", "cx", "cy", "cz", *SYMMETRIC)
 
 
@@ -97,14 +109,18 @@ def merge_tensors(tensors: DataFrame, keys: list[str]) -> DataFrame:
                        *((C(f"_s{a}{b}") / C("_n") - C(f"_c{a}") * C(f"_c{b}")).alias(f"c{a}{b}") for a, b in PAIRS))
 
 
-def neighborhood_stats(edges: DataFrame) -> DataFrame:
-    """Per point: neighbours ``n`` (centre left out) and ``mean_radius``, the mean distance with the centre's zero."""
+def neighborhood_stats(edges: DataFrame, points: DataFrame | None = None) -> DataFrame:
+    """Per point: neighbours ``n`` (centre left out) and ``mean_radius``, the mean distance with the centre's zero.
+
+    With ``points`` those without edges have a row too: 0 and 0.
+    """
     m = multiplicity(edges)
     sums = edges.groupBy("point_id").agg(F.sum(m).cast("bigint").alias("n"), F.sum(m * C("dist")).alias("_d"))
-    return sums.select("point_id", "n", (C("_d") / (C("n") + 1)).alias("mean_radius"))
+    out = sums.select("point_id", "n", (C("_d") / (C("n") + 1)).alias("mean_radius"))
+    return out if points is None else every(points, out, n=0, mean_radius=0.0)
 
 
-def average_neighborhood(edges: DataFrame) -> DataFrame:
+def average_neighborhood(edges: DataFrame, points: DataFrame | None = None) -> DataFrame:
     """Mean radius and whole-number mean size (centre counted) over all neighbourhoods."""
-    return neighborhood_stats(edges).agg(F.avg("mean_radius").alias("mean_radius"),
+    return neighborhood_stats(edges, points).agg(F.avg("mean_radius").alias("mean_radius"),
                                          F.floor(F.avg(C("n") + 1)).cast("bigint").alias("mean_size"))

@@ -65,15 +65,15 @@ SMALL = """pts AS (SELECT vec_id AS point_id, embedding[1]::DOUBLE AS x, embeddi
   embedding[3]::DOUBLE AS z, label::BIGINT AS label FROM embeddings)"""
 
 
-# --- raster: user x day of year, mean event value ---------------------------------------------------------------------
+# --- raster: user x day, mean event value ---------------------------------------------------------------------
 
 def raster(spark: SparkSession, sf: str) -> DataFrame:
     return (table(spark, sf, "events")
-            .groupBy(C("user_id").cast("int").alias("row"), (F.dayofyear("ts") - 1).cast("int").alias("col"))
+            .groupBy(C("user_id").cast("int").alias("row"), F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("int").alias("col"))
             .agg(F.avg("value").alias("value")))
 
 
-RASTER = """raster AS (SELECT user_id::INT AS "row", (dayofyear(ts) - 1)::INT AS col, avg(value) AS value
+RASTER = """raster AS (SELECT user_id::INT AS "row", date_diff('day', DATE '2024-01-01', ts::DATE)::INT AS col, avg(value) AS value
   FROM events GROUP BY 1, 2)"""
 
 
@@ -83,7 +83,7 @@ def curves(spark: SparkSession, sf: str) -> DataFrame:
     """``curve_id, seq, x (hours), y``.  The position in the curve is counted day by day, so that a user with a very
     large share of the events is numbered by many tasks."""
     events = table(spark, sf, "events").select(
-        C("user_id").alias("curve_id"), "event_id", "ts", C("value").alias("y"), F.dayofyear("ts").alias("_day"))
+        C("user_id").alias("curve_id"), "event_id", "ts", C("value").alias("y"), F.to_date("ts").alias("_day"))
     per_day = events.groupBy("curve_id", "_day").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy("curve_id").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_day.select("curve_id", "_day", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
@@ -107,14 +107,21 @@ def select_sql(ctes: list[str] | str, body: str) -> str:
 
 # --- covariance tensors of neighbourhoods -------------------------------------------------------------------------------
 
-TENSORS = """tensors AS (SELECT point_id, count(*) AS n,
-  CASE WHEN count(*) < 3 THEN 1 ELSE sum(dx * dx) / count(*) END AS cxx,
-  CASE WHEN count(*) < 3 THEN 0 ELSE sum(dx * dy) / count(*) END AS cxy,
-  CASE WHEN count(*) < 3 THEN 0 ELSE sum(dx * dz) / count(*) END AS cxz,
-  CASE WHEN count(*) < 3 THEN 1 ELSE sum(dy * dy) / count(*) END AS cyy,
-  CASE WHEN count(*) < 3 THEN 0 ELSE sum(dy * dz) / count(*) END AS cyz,
-  CASE WHEN count(*) < 3 THEN 1 ELSE sum(dz * dz) / count(*) END AS czz
-  FROM edges GROUP BY point_id)"""
+def tensors_sql(source: str = "pts") -> str:
+    """CTE with the tensor of every point of ``source``: the identity below three neighbours."""
+    entries = ", ".join(f"CASE WHEN count(nid) < 3 THEN {int(a == b)} ELSE sum(d{a} * d{b}) / count(nid) END AS c{a}{b}"
+                        for a, b in ("xx", "xy", "xz", "yy", "yz", "zz"))
+    return f"""tensors AS (SELECT point_id, count(nid) AS n, {entries}
+  FROM {source} LEFT JOIN edges USING (point_id) GROUP BY point_id)"""
+
+
+TENSORS = tensors_sql()
+
+
+def every(oracle: str, **columns) -> str:
+    """The rows of ``oracle`` and one for each point that it lacks, with the given values (None: NULL)."""
+    values = ", ".join(f"o.{c}" if v is None else f"coalesce(o.{c}, {v}) AS {c}" for c, v in columns.items())
+    return f"WITH {PTS}, o AS ({oracle})\nSELECT pts.point_id, {values} FROM pts LEFT JOIN o USING (point_id)"
 
 
 def eigen_sql(source: str = "tensors", name: str = "eig", vectors: bool = False) -> str:

@@ -30,7 +30,7 @@ def rounded_sql(names, digits=6):
 SELECT point_id, {Q('px', 4)} AS nx, {Q('py', 4)} AS ny, {Q('pz', 4)} AS nz FROM eig"""))
 def normals_from_tensors(spark, sf):
     pts, edges = position_edges(spark, sf)
-    return joins.per_point(pts, features.normals_from_tensors(tensors.tensor_from_neighbors(edges))).select(
+    return joins.per_point(pts, features.normals_from_tensors(tensors.tensor_from_neighbors(edges, points=joins.positions(pts)))).select(
         "point_id", *rounded(N3, 4))
 
 
@@ -38,7 +38,7 @@ def normals_from_tensors(spark, sf):
 SELECT point_id, {', '.join(f"{Q(c, 4)} AS {c}" for c in ('px', 'py', 'pz', 'sx', 'sy', 'sz'))} FROM eig"""))
 def eigen3_vectors(spark, sf):
     pts, edges = position_edges(spark, sf)
-    axes = linalg.with_eigen(tensors.tensor_from_neighbors(edges)).select("point_id", "plate", "stick")
+    axes = linalg.with_eigen(tensors.tensor_from_neighbors(edges, points=joins.positions(pts))).select("point_id", "plate", "stick")
     return joins.per_point(pts, axes).select(
         "point_id", *(q(C(a)[i], 4).alias(n + x) for a, n in (("plate", "p"), ("stick", "s")) for i, x in enumerate("xyz")))
 
@@ -88,11 +88,11 @@ RANGE_EDGES = ["reaching AS (SELECT *, (30.0::DOUBLE * 0.10::DOUBLE / 100) * sqr
     a.reach FROM reach_l a JOIN reach_r b ON a.cx = b.cx AND a.cy = b.cy) WHERE dist > 0 AND dist <= reach)"""]
 
 
-@query("normal_weighted", d.select_sql([d.PTS] + RANGE_EDGES + [
+@query("normal_weighted", d.every(d.select_sql([d.PTS] + RANGE_EDGES + [
     "w AS (SELECT *, exp(-dist * dist / (2 * (reach / 3) * (reach / 3))) AS w FROM edges)",
     "cov AS (SELECT point_id, " + ", ".join(f"sum(w * d{a} * d{b}) / sum(w) AS c{a}{b}" for a, b in tensors.PAIRS)
     + " FROM w GROUP BY point_id HAVING count(*) > 4)", d.eigen_sql("cov", vectors=True)], f"""
-SELECT point_id, {Q('px', 4)} AS nx, {Q('py', 4)} AS ny, {Q('pz', 4)} AS nz FROM eig"""))
+SELECT point_id, {Q('px', 4)} AS nx, {Q('py', 4)} AS ny, {Q('pz', 4)} AS nz FROM eig"""), nx=None, ny=None, nz=None))
 def normal_weighted(spark, sf):
     pts, edges = _range_edges(spark, sf)
     return joins.per_point(pts, features.normal_weighted(edges)).select("point_id", *rounded(N3, 4))
@@ -102,7 +102,7 @@ def normal_weighted(spark, sf):
 SELECT point_id, {Q('asin(least(1.0::DOUBLE, sqrt(px * px + py * py) / sqrt(px * px + py * py + pz * pz)))', 4)} AS dip FROM eig"""))
 def dip_direction(spark, sf):
     pts, edges = position_edges(spark, sf)
-    normals = features.normals_from_tensors(tensors.tensor_from_neighbors(edges))
+    normals = features.normals_from_tensors(tensors.tensor_from_neighbors(edges, points=joins.positions(pts)))
     return joins.per_point(pts, normals).select("point_id", q(features.dip_direction([C(n) for n in N3]), 4).alias("dip"))
 
 
@@ -124,7 +124,7 @@ SELECT point_id, side, {Q('''degrees(acos(greatest(-1.0::DOUBLE, least(1.0::DOUB
   / (sqrt(x * x + y * y + z * z) * sqrt(px * px + py * py + pz * pz))))))''', 3)} AS angle FROM turned"""))
 def incidence_angle(spark, sf):
     pts, edges = position_edges(spark, sf)
-    normals = joins.per_point(pts, features.normals_from_tensors(tensors.tensor_from_neighbors(edges)))
+    normals = joins.per_point(pts, features.normals_from_tensors(tensors.tensor_from_neighbors(edges, points=joins.positions(pts))))
     return features.incidence_angles(pts, normals).select("point_id", "side", q("angle", 3).alias("angle"))
 
 
@@ -136,7 +136,7 @@ SELECT point_id, {Q('l3 / (l1 + l2 + l3)', 5)} AS p1, {Q('l2 / (l1 + l2 + l3)',
 FROM eig"""))
 def tensor_shape(spark, sf):
     pts, edges = position_edges(spark, sf)
-    shaped = features.tensor_shape(linalg.eigenvalues(tensors.tensor_from_neighbors(edges)))
+    shaped = features.tensor_shape(linalg.eigenvalues(tensors.tensor_from_neighbors(edges, points=joins.positions(pts))))
     return joins.per_point(pts, shaped).select(
         "point_id", *rounded(("p1", "p2", "p3", "a1d"), 5), *rounded(("a2d", "a3d"), 4), "shape")
 
@@ -181,32 +181,31 @@ def _sectors(reference: bool, least: float) -> str:
     return f"""sectors AS (SELECT point_id, count(*) AS n, ({' + '.join(parts)})::INT AS sectors FROM angles GROUP BY 1)"""
 
 
-@query("neighborhood_valid", d.select_sql(EDGES + [ANGLE, _sectors(True, 2)], """
-SELECT point_id, n, sectors, n >= 6 AND sectors >= 7 AS valid FROM sectors"""))
+@query("neighborhood_valid", d.every(d.select_sql(EDGES + [ANGLE, _sectors(True, 2)], """
+SELECT point_id, n, sectors, n >= 6 AND sectors >= 7 AS valid FROM sectors"""), n=0, sectors=0, valid="false"))
 def neighborhood_valid(spark, sf):
     pts, edges = position_edges(spark, sf)
-    return joins.per_point(pts, features.neighborhood_valid(edges))
+    return joins.per_point(pts, features.neighborhood_valid(edges, points=joins.positions(pts)))
 
 
-@query("neighborhood_valid_even", d.select_sql(EDGES + [ANGLE, _sectors(False, 1)], """
-SELECT point_id, n, sectors, n >= 6 AND sectors >= 5 AS valid FROM sectors"""))
+@query("neighborhood_valid_even", d.every(d.select_sql(EDGES + [ANGLE, _sectors(False, 1)], """
+SELECT point_id, n, sectors, n >= 6 AND sectors >= 5 AS valid FROM sectors"""), n=0, sectors=0, valid="false"))
 def neighborhood_valid_even(spark, sf):
     pts, edges = position_edges(spark, sf)
-    return joins.per_point(pts, features.neighborhood_valid(edges, 5, 1, 5, 8, "even"))
+    return joins.per_point(pts, features.neighborhood_valid(edges, 5, 1, 5, 8, "even", points=joins.positions(pts)))
 
 
 EPSILON = quantiles.normal_quantile(0.975) * 0.01
 
 
-@query("umbrella_curvature", d.select_sql(EDGES + EIGEN + [ANGLE, _sectors(True, 2),
+@query("umbrella_curvature", d.every(d.select_sql(EDGES + EIGEN + [ANGLE, _sectors(True, 2),
     f"""mean AS (SELECT point_id, (sum(dx) * any_value(px) + sum(dy) * any_value(py) + sum(dz) * any_value(pz)) / count(*) AS k
   FROM edges JOIN eig USING (point_id) GROUP BY point_id)"""], f"""
 SELECT point_id, {Q(f'''CASE WHEN NOT (sectors.n >= 6 AND sectors >= 7) THEN NULL WHEN abs(k) < {EPSILON!r}::DOUBLE THEN 0
-  ELSE k END''', 4)} AS umbrella FROM mean JOIN sectors USING (point_id)"""))
+  ELSE k END''', 4)} AS umbrella FROM mean JOIN sectors USING (point_id)"""), umbrella=None))
 def umbrella_curvature(spark, sf):
     pts, edges = position_edges(spark, sf)
-    normals = features.normals_from_tensors(tensors.tensor_from_neighbors(edges))
-    values = features.umbrella_curvature(edges, normals, features.neighborhood_valid(edges))
+    values = features.umbrella_from_neighbors(joins.positions(pts), edges)
     return joins.per_point(pts, values).select("point_id", q("umbrella", 4).alias("umbrella"))
 
 
@@ -214,7 +213,7 @@ F_TABLE = "f_limit AS (SELECT * FROM (VALUES " + ", ".join(
     f"({n}, {quantiles.f_quantile(0.05, 3, n)!r}::DOUBLE)" for n in range(2, 301)) + ") v(n, f_limit))"
 
 
-@query("curvature_biquadratic", d.select_sql(EDGES + EIGEN + [F_TABLE, """framed AS (SELECT point_id, dx, dy, dz, px, py, pz,
+@query("curvature_biquadratic", d.every(d.select_sql(EDGES + EIGEN + [F_TABLE, """framed AS (SELECT point_id, dx, dy, dz, px, py, pz,
     CASE WHEN pz < -1 + 1e-12 THEN 0 ELSE 1 / (1 + pz) END AS h FROM edges JOIN eig USING (point_id))""",
     """turned AS (SELECT point_id, dx - px * (h * (px * dx + py * dy) + dz) AS x, dy - py * (h * (px * dx + py * dy) + dz) AS y,
     px * dx + py * dy + pz * dz AS z FROM framed)""",
@@ -231,7 +230,7 @@ F_TABLE = "f_limit AS (SELECT * FROM (VALUES " + ", ".join(
     """kk AS (SELECT point_id, s * (p + q) + sqrt(4*s*r*r + 4*s*(p-q)*(p-q)) / 2 AS k1,
       s * (p + q) - sqrt(4*s*r*r + 4*s*(p-q)*(p-q)) / 2 AS k2 FROM tested)"""], f"""
 SELECT point_id, {Q('CASE WHEN abs(k1 * k2) <= 1000 THEN k1 END', 3)} AS k1,
-  {Q('CASE WHEN abs(k1 * k2) <= 1000 THEN k2 END', 3)} AS k2 FROM kk"""))
+  {Q('CASE WHEN abs(k1 * k2) <= 1000 THEN k2 END', 3)} AS k2 FROM kk"""), k1=None, k2=None))
 def curvature_biquadratic(spark, sf):
     pts = d.points(spark, sf)
     edges = point_features.edges_with_normals(point_features.with_normals(joins.positions(pts), RADIUS), RADIUS)
@@ -245,7 +244,7 @@ def curvature_fundamental_form(spark, sf):
     return joins.per_point(pts, features.curvature_fundamental_form(edges, radius=0.01))
 
 
-@query("curvature_euler", d.select_sql(EDGES + EIGEN + [
+@query("curvature_euler", d.every(d.select_sql(EDGES + EIGEN + [
     "nrm AS (SELECT point_id, px, py, pz FROM eig)",
     """e1 AS (SELECT edges.point_id, dx, dy, sqrt(dx*dx + dy*dy) AS f, a.px AS ax, a.py AS ay, b.px AS nx, b.py AS ny, b.pz AS nz
   FROM edges JOIN nrm a ON a.point_id = edges.point_id JOIN nrm b ON b.point_id = edges.nid WHERE dx <> 0 OR dy <> 0)""",
@@ -261,7 +260,7 @@ def curvature_fundamental_form(spark, sf):
   ((m2*m4 - m1*m5)*u + (m0*m5 - m2*m2)*v + (m1*m2 - m0*m4)*w) / det AS q,
   ((m1*m4 - m2*m3)*u + (m1*m2 - m0*m4)*v + (m0*m3 - m1*m1)*w) / det AS r FROM h)"""], f"""
 SELECT point_id, {Q('k1 / (1 + abs(k1))', 4)} AS k1_bounded, {Q('k2 / (1 + abs(k2))', 4)} AS k2_bounded FROM (
-  SELECT point_id, (p + r + sqrt((p - r) * (p - r) + 4 * q * q)) / 2 AS k1, (p + r - sqrt((p - r) * (p - r) + 4 * q * q)) / 2 AS k2 FROM sol)"""))
+  SELECT point_id, (p + r + sqrt((p - r) * (p - r) + 4 * q * q)) / 2 AS k1, (p + r - sqrt((p - r) * (p - r) + 4 * q * q)) / 2 AS k2 FROM sol)"""), k1_bounded=None, k2_bounded=None))
 def curvature_euler(spark, sf):
     """Curvatures as k / (1 + |k|): an ill-conditioned fit can be very large, where rounding to fixed decimals is noise."""
     pts = d.points(spark, sf)
@@ -342,7 +341,7 @@ def significance_zero(spark, sf):
     "ext AS (SELECT min(x) AS x0, min(y) AS y0 FROM pts)",
     "cells AS (SELECT point_id, x, y, z, floor((x - x0) / 1.5::DOUBLE)::BIGINT || '_' || floor((y - y0) / 1.5::DOUBLE)::BIGINT AS v FROM pts CROSS JOIN ext)",
     "cog AS (SELECT v AS point_id, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM cells GROUP BY v)",
-    d.edges_sql(3.0, "cog"), d.TENSORS, d.eigen_sql(vectors=True), ANGLE, _sectors(True, 2),
+    d.edges_sql(3.0, "cog"), d.tensors_sql("cog"), d.eigen_sql(vectors=True), ANGLE, _sectors(True, 2),
     f"""mean AS (SELECT point_id, (sum(dx) * any_value(px) + sum(dy) * any_value(py) + sum(dz) * any_value(pz)) / count(*) AS k
   FROM edges JOIN eig USING (point_id) GROUP BY point_id)""",
     f"""val AS (SELECT point_id AS v, CASE WHEN NOT (sectors.n >= 6 AND sectors >= 7) OR abs(k) < {EPSILON!r}::DOUBLE THEN 0 ELSE k END AS k

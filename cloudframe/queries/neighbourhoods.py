@@ -111,19 +111,21 @@ def grid_neighbors(spark, sf):
 
 
 @query("neighborhood_stats", d.select_sql(EDGES, f"""
-SELECT point_id, count(*) AS n, {Q('sum(dist) / (count(*) + 1)')} AS mean_radius FROM edges GROUP BY point_id"""))
+SELECT point_id, count(nid) AS n, {Q('coalesce(sum(dist), 0) / (count(nid) + 1)')} AS mean_radius
+FROM pts LEFT JOIN edges USING (point_id) GROUP BY point_id"""))
 def neighborhood_stats(spark, sf):
     pts, edges = position_edges(spark, sf)
-    return joins.per_point(pts, tensors.neighborhood_stats(edges)).select(
+    return joins.per_point(pts, tensors.neighborhood_stats(edges, joins.positions(pts))).select(
         "point_id", "n", q("mean_radius").alias("mean_radius"))
 
 
 @query("average_neighborhood", d.select_sql(EDGES, f"""
 SELECT {Q('avg(r)')} AS mean_radius, floor(avg(n + 1))::BIGINT AS mean_size FROM (
-  SELECT point_id, sum(dist) / (count(*) + 1) AS r, count(*) AS n FROM edges GROUP BY point_id)"""))
+  SELECT point_id, coalesce(sum(dist), 0) / (count(nid) + 1) AS r, count(nid) AS n
+  FROM pts LEFT JOIN edges USING (point_id) GROUP BY point_id)"""))
 def average_neighborhood(spark, sf):
-    edges = joins.radius_neighbors(d.spread_points(spark, sf), RADIUS)
-    return tensors.average_neighborhood(edges).select(q("mean_radius").alias("mean_radius"), "mean_size")
+    pts = d.spread_points(spark, sf)
+    return tensors.average_neighborhood(joins.radius_neighbors(pts, RADIUS), pts).select(q("mean_radius").alias("mean_radius"), "mean_size")
 
 
 @query("moments", d.select_sql(d.PTS, """SELECT cloud_id, count(*) AS n, """ + ", ".join(
@@ -147,19 +149,20 @@ def moments_weighted(spark, sf):
     f"{Q(c)} AS {c}" for c in linalg.SYMMETRIC) + " FROM tensors"))
 def tensor_from_neighbors(spark, sf):
     pts, edges = position_edges(spark, sf)
-    return joins.per_point(pts, tensors.tensor_from_neighbors(edges)).select(
+    return joins.per_point(pts, tensors.tensor_from_neighbors(edges, points=joins.positions(pts))).select(
         "point_id", "n", *(q(c).alias(c) for c in linalg.SYMMETRIC))
 
 
-@query("tensor_from_neighbors_gaussian", d.select_sql(EDGES + [
+@query("tensor_from_neighbors_gaussian", d.every(d.select_sql(EDGES + [
     "r AS (SELECT point_id, sum(dist) / (count(*) + 1) / 3 AS s FROM edges GROUP BY 1)",
     "w AS (SELECT edges.*, exp(-dist * dist / (2 * s * s)) AS w FROM edges JOIN r USING (point_id))"],
     "SELECT point_id, count(*) AS n, " + ", ".join(
         f"{Q(f'CASE WHEN count(*) < 3 THEN {int(a == b)} ELSE sum(w * d{a} * d{b}) / sum(w) END')} AS c{a}{b}"
-        for a, b in tensors.PAIRS) + " FROM w GROUP BY point_id"))
+        for a, b in tensors.PAIRS) + " FROM w GROUP BY point_id"), n=0, cxx="1.0::DOUBLE", cxy="0.0::DOUBLE", cxz="0.0::DOUBLE", cyy="1.0::DOUBLE",
+    cyz="0.0::DOUBLE", czz="1.0::DOUBLE"))
 def tensor_from_neighbors_gaussian(spark, sf):
     pts, edges = position_edges(spark, sf)
-    return joins.per_point(pts, tensors.tensor_from_neighbors(edges, gaussian=True)).select(
+    return joins.per_point(pts, tensors.tensor_from_neighbors(edges, gaussian=True, points=joins.positions(pts))).select(
         "point_id", "n", *(q(c).alias(c) for c in linalg.SYMMETRIC))
 
 
@@ -167,7 +170,7 @@ def tensor_from_neighbors_gaussian(spark, sf):
 SELECT point_id, {Q('l1', 5)} AS l1, {Q('l2', 5)} AS l2, {Q('l3', 5)} AS l3 FROM eig"""))
 def eigen3_values(spark, sf):
     pts, edges = position_edges(spark, sf)
-    return joins.per_point(pts, linalg.eigenvalues(tensors.tensor_from_neighbors(edges))).select(
+    return joins.per_point(pts, linalg.eigenvalues(tensors.tensor_from_neighbors(edges, points=joins.positions(pts)))).select(
         "point_id", *(q(c, 5).alias(c) for c in ("l1", "l2", "l3")))
 
 
@@ -176,7 +179,7 @@ SELECT point_id, n, {Q('l1 / nullif(l1 + l2 + l3, 0)', 5)} AS variation FROM eig
 def surface_variation(spark, sf):
     """Smallest eigenvalue over the trace, per point."""
     pts, edges = position_edges(spark, sf)
-    eigen = linalg.eigenvalues(tensors.tensor_from_neighbors(edges))
+    eigen = linalg.eigenvalues(tensors.tensor_from_neighbors(edges, points=joins.positions(pts)))
     return joins.per_point(pts, eigen.select("point_id", "n", "l1", "l2", "l3")).select(
         "point_id", "n", q(F.try_divide(C("l1"), C("l1") + C("l2") + C("l3")), 5).alias("variation"))
 

@@ -230,9 +230,12 @@ def normal_angle_pairs(spark, sf):
     return points.normal_angle_pairs(cells("A"), cells("R"), math.degrees(3 * math.pi / (60 * 180))).drop("angle_a", "angle_b")
 
 
-@query("farthest_pair")
+@query("farthest_pair", d.select_sql([d.PTS,
+    "ends AS (SELECT cloud_id, x, min(y) AS y FROM pts GROUP BY 1, 2 UNION SELECT cloud_id, x, max(y) FROM pts GROUP BY 1, 2)"], f"""
+SELECT a.cloud_id, {Q('max(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)))')} AS dist
+FROM ends a JOIN ends b USING (cloud_id) GROUP BY 1"""))
 def farthest_pair(spark, sf):
-    return points.farthest_pair(d.points(spark, sf))
+    return points.farthest_pair(d.points(spark, sf)).select("cloud_id", q("dist").alias("dist"))
 
 
 @query("spherical_neighbors", _p(f"SELECT a.point_id, b.point_id AS nid, {Q('b.range - a.range')} AS drange FROM cell a JOIN sph b ON floor(b.az / 0.3::DOUBLE) = a.i AND floor(b.el / 0.3::DOUBLE) = a.j WHERE abs(a.az - b.az) <= 0.3 AND abs(a.el - b.el) <= 0.3 AND abs(a.range - b.range) <= 0.1::DOUBLE", [

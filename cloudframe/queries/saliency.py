@@ -88,22 +88,23 @@ def _described(spark, sf):
     f"""s AS (SELECT point_id, count(*) AS n, (count(*) FILTER (WHERE w > 0.01) + {int(CENTRE > 0.01)})::INT AS active,
   count(*) FILTER (WHERE w > 0.01 AND abs(dn) < 0.016) AS zn, count(*) FILTER (WHERE w > 0.01 AND abs(dk) <= 0.04) AS zk,
   sum(abs(dn) * w) / sum(w) AS mn, abs(sum(dk * w)) / sum(w) AS mk, stddev_pop(dn) AS sn, stddev_pop(dk) AS sk FROM e GROUP BY 1)""",
-    """r AS (SELECT point_id, CASE WHEN n < 4 OR zn > 0.6 * active OR (n - 1) * sn / 0.01 < lim THEN 0 ELSE coalesce(mn, 0) END AS dn,
-  CASE WHEN n < 4 OR zk > 0.6 * active OR (n - 1) * sk / 0.1 < lim THEN 0 ELSE coalesce(mk, 0) END AS dk FROM s LEFT JOIN chi USING (active))""",
+    """r AS (SELECT point_id, CASE WHEN n IS NULL OR n < 4 OR zn > 0.6 * active OR (n - 1) * sn / 0.01 < lim THEN 0 ELSE coalesce(mn, 0) END AS dn,
+  CASE WHEN n IS NULL OR n < 4 OR zk > 0.6 * active OR (n - 1) * sk / 0.1 < lim THEN 0 ELSE coalesce(mk, 0) END AS dk
+  FROM pts LEFT JOIN s USING (point_id) LEFT JOIN chi USING (active))""",
     "x AS (SELECT min(dn) AS a, max(dn) AS b, min(dk) AS c, max(dk) AS d FROM r)",
     "z AS (SELECT point_id, (dn - a) / (b - a) AS dn, (dk - c) / (d - c) AS dk FROM r CROSS JOIN x)"], f"""
 SELECT point_id, {Q('0.5 * dn + 0.5 * dk', 4)} AS saliency, {Q('dn', 4)} AS dn, {Q('dk', 4)} AS dk FROM z"""))
 def directional_saliency(spark, sf):
     pts, edges = _described(spark, sf)
     flat = F.sqrt(C("dx") * C("dx") + C("dy") * C("dy"))
-    values = saliency.directional_saliency(edges, weights.weight_gaussian_ring(flat, SIGMA, RHO), CENTRE)
+    values = saliency.directional_saliency(edges, weights.weight_gaussian_ring(flat, SIGMA, RHO), CENTRE, points=joins.positions(pts))
     return joins.per_point(pts, values).select("point_id", *(q(c, 4).alias(c) for c in ("saliency", "dn", "dk")))
 
 
 @query("pointwise_pca_saliency")
 def pointwise_pca_saliency(spark, sf):
     pts, edges = position_edges(spark, sf)
-    return joins.per_point(pts, saliency.pointwise_pca_saliency(tensors.tensor_from_neighbors(edges)))
+    return joins.per_point(pts, saliency.pointwise_pca_saliency(tensors.tensor_from_neighbors(edges, points=joins.positions(pts))))
 
 
 SCORES = "kk AS (SELECT point_id, x * y AS saliency FROM pts)"
@@ -174,15 +175,16 @@ SPFH = ["nrm AS (SELECT point_id, px, py, pz FROM eig)",
         "f5 AS (SELECT point_id, nid, dist, " + ", ".join(
             f"least(floor(CASE WHEN {c} < -1e-9 THEN {c} + 2 * pi() ELSE greatest(0, {c}) END / (2 * pi()) * 11), 10) AS {c}" for c in ("alpha", "phi", "theta"))
         + " FROM f4)",
-        "sp AS (SELECT point_id, count(*) AS n, " + ", ".join(
+        "sp0 AS (SELECT point_id, count(*) AS n, " + ", ".join(
             f"CASE WHEN count(*) <= 2 THEN 0.0::DOUBLE ELSE count(*) FILTER (WHERE {c} = {b}) / count(*)::DOUBLE END AS h{i * 11 + b}"
-            for i, c in enumerate(("alpha", "phi", "theta")) for b in range(11)) + " FROM f5 GROUP BY 1)"]
+            for i, c in enumerate(("alpha", "phi", "theta")) for b in range(11)) + " FROM f5 GROUP BY 1)",
+        "sp AS (SELECT point_id, coalesce(n, 0) AS n, " + ", ".join(f"coalesce(h{i}, 0.0::DOUBLE) AS h{i}" for i in range(33)) + " FROM pts LEFT JOIN sp0 USING (point_id))"]
 
 
 def _spfh(spark, sf):
     pts = d.points(spark, sf)
     edges = point_features.edges_with_normals(point_features.with_normals(joins.positions(pts), RADIUS), RADIUS)
-    return pts, edges, saliency.spfh(edges)
+    return pts, edges, saliency.spfh(edges, points=joins.positions(pts))
 
 
 @query("spfh", d.select_sql(EDGES + EIGEN + SPFH, "SELECT point_id, n, " + ", ".join(f"{Q(f'h{i}', 4)} AS h{i}" for i in range(33)) + " FROM sp"))

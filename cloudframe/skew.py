@@ -4,41 +4,47 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cloudframe.lineage import cut_lineage
+
+C = F.col
 # A key is split as soon as one side holds more than this many rows of it.
 ROWS_PER_TASK = 100_000
-# At most this many keys can hold more than 1/HOT_KEYS of the rows, which bounds the broadcast list of hot keys.
-HOT_KEYS = 10_000
+# A table of hot keys up to this many rows is broadcast; a larger one is joined by key.
+MOST_BROADCAST = 100_000
 
 
 def hot_keys(df: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Keys that hold too many rows for one task, with the number of parts ``_parts`` to cut them into.
-
-    A key is hot when it has more than ``rows_per_task`` rows *and* more than ``1/HOT_KEYS`` of all rows.  By counting,
-    no more than ``HOT_KEYS`` keys can satisfy the second condition, so the result may always be broadcast.  Keys that
-    only satisfy the first condition hold less than one part in ten thousand and need no special care.
-    """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    total = counts.agg(F.sum("_rows").alias("_total"))
-    threshold = F.greatest(F.lit(rows_per_task).cast("double"), total.scalar() / F.lit(float(HOT_KEYS)))
-    return counts.where(F.col("_rows") > threshold).select(
-        *keys, F.ceil(F.col("_rows") / F.lit(float(rows_per_task))).cast("int").alias("_parts")
-    )
+    """Keys that hold more than ``rows_per_task`` rows, with the number of parts ``_parts`` to cut them into."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(C("_rows") > rows_per_task)
+    return counts.select(*keys, F.ceil(C("_rows") / F.lit(float(rows_per_task))).cast("int").alias("_parts"))
 
 
 def salted(left: DataFrame, right: DataFrame, keys: list[str], left_id: Column, right_id: Column,
-           rows_per_task: int = ROWS_PER_TASK) -> tuple[DataFrame, DataFrame, list[str]]:
+           rows_per_task: int | None = None, *, count: str = "right") -> tuple[DataFrame, DataFrame, list[str]]:
     """Add salts so that an inner equi-join on ``keys`` plus salts yields every original pair exactly once.
 
-    Rows of a hot key are cut into ``p`` parts on both sides by a hash of their ids, and each part meets each part of
-    the other side in a task of its own (``p*p`` tasks).  Cold keys keep the single salt pair (0, 0).
+    Every key with more than ``rows_per_task`` rows on a counted side is cut: the rows of that side into parts by a hash
+    of their ids, each of which meets all rows of the other side's parts in a task of its own.  ``count`` names the side
+    that can be crowded: ``right`` (also enough where both sides hold the same points), ``left`` or ``both``.  The hot
+    keys are counted once, into the checkpoint folder; without any the join stays a plain one.
     """
-    hot = F.broadcast(hot_keys(right, keys, rows_per_task))
-    parts = F.coalesce(F.col("_parts"), F.lit(1))
-    every_part = F.explode(F.sequence(F.lit(0), parts - 1))
-    left = (left.join(hot, keys, "left")
-            .withColumn("_salt_left", F.pmod(F.xxhash64(left_id), parts).cast("int"))
-            .withColumn("_salt_right", every_part).drop("_parts"))
-    right = (right.join(hot, keys, "left")
-             .withColumn("_salt_right", F.pmod(F.xxhash64(right_id), parts).cast("int"))
-             .withColumn("_salt_left", every_part).drop("_parts"))
-    return left, right, keys + ["_salt_left", "_salt_right"]
+    rows_per_task = rows_per_task or ROWS_PER_TASK
+    on = list(keys)
+    for side in ("right", "left"):
+        if count not in (side, "both"):
+            continue
+        hot = cut_lineage(hot_keys(right if side == "right" else left, keys, rows_per_task))
+        number = hot.count()
+        if not number:
+            continue
+        hot = F.broadcast(hot) if number <= MOST_BROADCAST else hot
+        parts = F.coalesce(C("_parts"), F.lit(1))
+        name = f"_salt_{side}"
+        every_part = F.explode(F.sequence(F.lit(0), parts - 1))
+        left_part = F.pmod(F.xxhash64(left_id), parts).cast("int") if side == "left" else every_part
+        right_part = F.pmod(F.xxhash64(right_id), parts).cast("int") if side == "right" else every_part
+        left = left.join(hot, keys, "left").withColumn(name, left_part).drop("_parts")
+        right = right.join(hot, keys, "left").withColumn(name, right_part).drop("_parts")
+        on.append(name)
+    return left, right, on
+

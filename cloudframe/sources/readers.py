@@ -148,18 +148,27 @@ def read_ply(spark: SparkSession, path: str, attributes: tuple[str, ...] = ()) -
 
 
 def read_las(spark: SparkSession, path: str) -> DataFrame:
-    """Coordinates, intensity and class of uncompressed LAS files (point formats 0 to 5)."""
+    """Coordinates, intensity and class of uncompressed LAS files (versions 1.0 to 1.4, point formats 0 to 10).
+
+    Compressed or unknown formats raise an error instead of giving no rows.
+    """
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for file, data in zip(batch["path"], batch["content"]):
                 start, length = (int(np.frombuffer(data, t, 1, o)[0]) for t, o in (("<u4", 96), ("<u2", 105)))
+                form, modern = data[104] & 0x3F, data[24:26] >= b"\x01\x04"
+                if data[104] & 0xC0 or form > 10:
+                    raise ValueError(f"{file}: not an uncompressed LAS file of point format 0 to 10")
                 count = int(np.frombuffer(data, "<u4", 1, 107)[0])
+                if modern:  # a 64-bit count; the old field may be 0
+                    count = int(np.frombuffer(data, "<u8", 1, 247)[0]) or count
+                at_class, mask = (16, 255) if form >= 6 else (15, 31)
                 scale, offset = np.frombuffer(data, "<f8", 3, 131), np.frombuffer(data, "<f8", 3, 155)
-                kind = np.dtype({"names": ["x", "y", "z", "i", "c"], "formats": ["<i4", "<i4", "<i4", "<u2", "u1"], "offsets": [0, 4, 8, 12, 15], "itemsize": length})
+                kind = np.dtype({"names": ["x", "y", "z", "i", "c"], "formats": ["<i4", "<i4", "<i4", "<u2", "u1"], "offsets": [0, 4, 8, 12, at_class], "itemsize": length})
                 for at in range(0, count, CHUNK):
                     t = np.frombuffer(data, kind, min(CHUNK, count - at), start + at * length)
                     yield pd.DataFrame({"path": file, "point_id": np.arange(at, at + len(t)), **{a: t[a] * scale[i] + offset[i] for i, a in enumerate("xyz")},
-                                        "intensity": t["i"].astype("f8"), "label": (t["c"] & 31).astype("i8")})
+                                        "intensity": t["i"].astype("f8"), "label": (t["c"] & mask).astype("i8")})
     schema = "path string, point_id long, x double, y double, z double, intensity double, label long"
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, schema)
 
