@@ -68,7 +68,7 @@ def adaptive_cells(spark, sf):
     return segments.adaptive_cells(d.points(spark, sf), 10, 2.0).select("point_id", "cell")
 
 
-@query("similarity_graph", d.select_sql([d.PTS,
+GRAPH = [d.PTS,
     "t AS (SELECT concat_ws('_', floor(x / 10)::BIGINT, floor(y / 10.4::DOUBLE)::BIGINT, floor(z / 5)::BIGINT) AS key, count(*) AS n, avg(x) AS gx, avg(y) AS gy, avg(z) AS gz, " + ", ".join(f"CASE WHEN count(*) < 3 THEN {int(a == b)} ELSE covar_pop({a}, {b}) END AS c{a}{b}" for a, b in tensors.PAIRS) + " FROM pts GROUP BY 1)",
     d.eigen_sql("t", "e", vectors=True),
     "k AS (SELECT a.key AS a, b.key AS b, row_number() OVER (PARTITION BY a.key ORDER BY sqrt((b.gx-a.gx)*(b.gx-a.gx) + (b.gy-a.gy)*(b.gy-a.gy) + (b.gz-a.gz)*(b.gz-a.gz)), b.key) AS r FROM t a, t b WHERE a.key <> b.key)",
@@ -76,8 +76,20 @@ def adaptive_cells(spark, sf):
   l.sx AS lsx, l.sy AS lsy, l.sz AS lsz, r.sx AS rsx, r.sy AS rsy, r.sz AS rsz FROM k JOIN e l ON l.key = a JOIN e r ON r.key = b WHERE k.r <= 6 AND l.l1 < 4 AND r.l1 < 4)""",
     "u AS (SELECT a, b, planar, ox, oy, oz, " + ", ".join(f"CASE WHEN planar THEN {s}p{x} ELSE {s}s{x} END AS {s}{x}" for s in "lr" for x in "xyz") + " FROM p)",
     """v AS (SELECT a, b, CASE WHEN planar THEN abs(lx*ox + ly*oy + lz*oz) ELSE sqrt((ly*oz - lz*oy)**2 + (lz*ox - lx*oz)**2 + (lx*oy - ly*ox)**2) END AS dist,
-  CASE WHEN lx*rx + ly*ry + lz*rz < 0 THEN (rx+lx)**2 + (ry+ly)**2 + (rz+lz)**2 ELSE (rx-lx)**2 + (ry-ly)**2 + (rz-lz)**2 END AS don FROM u)"""],
-    f"SELECT a, b, {Q('dist', 4)} AS dist, {Q('don', 4)} AS don, CASE WHEN dist < 2 AND don < 0.2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS weight FROM v"))
+  CASE WHEN lx*rx + ly*ry + lz*rz < 0 THEN (rx+lx)**2 + (ry+ly)**2 + (rz+lz)**2 ELSE (rx-lx)**2 + (ry-ly)**2 + (rz-lz)**2 END AS don FROM u)"""]
+
+
+def _graph_sql(weight: str) -> str:
+    return d.select_sql(GRAPH, f"SELECT a, b, {Q('dist', 4)} AS dist, {Q('don', 4)} AS don, {weight} AS weight FROM v")
+
+
+FADE = "exp(-dist * dist / 2.0::DOUBLE) * exp(-don * don / 0.2::DOUBLE)"
+RAMP = lambda t, alpha: f"ln((1 + exp({alpha} * ({t}))) / (1 + exp({alpha} * (({t}) - 1)))) / {alpha}"
+RAW = f"(1 - {RAMP('least(5.0::DOUBLE, dist)', '100.0::DOUBLE')}) * {RAMP('(don - 0.8::DOUBLE) / 0.2::DOUBLE', '10.0::DOUBLE')}"
+CLIPPED = f"CASE WHEN {RAW} < 0 THEN 0 ELSE {RAW} END"
+
+
+@query("similarity_graph", _graph_sql("CASE WHEN dist < 2 AND don < 0.2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"))
 def similarity_graph(spark, sf):
     return _graph(spark, sf, "binary").select("a", "b", q("dist", 4).alias("dist"), q("don", 4).alias("don"), "weight")
 
@@ -91,21 +103,26 @@ def _graph(spark, sf, mode):
     return segments.similarity_graph(_blocks(spark, sf), 6, 4.0, 0.2, 2.0, mode=mode, distance_scale=1.0)
 
 
-@query("similarity_graph_exp")
+def _rounded_graph(spark, sf, mode):
+    return _graph(spark, sf, mode).select("a", "b", q("dist", 4).alias("dist"), q("don", 4).alias("don"), q("weight", 4).alias("weight"))
+
+
+@query("similarity_graph_exp", _graph_sql(Q(FADE, 4)))
 def similarity_graph_exp(spark, sf):
-    return _graph(spark, sf, "exp")
+    return _rounded_graph(spark, sf, "exp")
 
 
-@query("similarity_graph_soft_clipping")
+@query("similarity_graph_soft_clipping", _graph_sql(Q(CLIPPED, 4)))
 def similarity_graph_soft_clipping(spark, sf):
-    return _graph(spark, sf, "soft_clipping")
+    return _rounded_graph(spark, sf, "soft_clipping")
 
 
-@query("similarity_lookup")
+@query("similarity_lookup", d.select_sql(GRAPH + [f"w AS (SELECT a, b, {FADE} AS weight FROM v)"], f"""
+SELECT p.b AS a, p.a AS b, {Q('coalesce(w.weight, 0)', 4)} AS weight FROM w p LEFT JOIN w ON w.a = p.b AND w.b = p.a"""))
 def similarity_lookup(spark, sf):
     g = cut_lineage(_graph(spark, sf, "exp"))
     mirrored = g.select(C("b").alias("a"), C("a").alias("b"))
-    return segments.similarity_lookup(g, mirrored)
+    return segments.similarity_lookup(g, mirrored).select("a", "b", q("weight", 4).alias("weight"))
 
 
 @query("surface_segmentation")

@@ -58,3 +58,54 @@ def cached_table(spark, sf):
     build = lambda: tensors.moments(d.points(spark, sf), ["cloud_id"])
     writers.cached_table(spark, folder, "moments", {"sf": sf}, build)
     return writers.cached_table(spark, folder, "moments", {"sf": sf}, build).select("cloud_id", "n", q("cx", 5).alias("cx"))
+
+
+# --- formats that this package only reads: the queries write the files as text ------------------------------------------
+
+@query("read_projection_matrix", f"""WITH m AS (SELECT s_suppkey AS camera, list_transform(range(12), lambda i: s_acctbal + i * 0.5::DOUBLE) AS m FROM supplier)
+SELECT camera, i::INT AS i, {Q('m[i + 1]')} AS value FROM (SELECT camera, m, unnest(range(12)) AS i FROM m)""")
+def read_projection_matrix(spark, sf):
+    """One camera file per supplier."""
+    folder = _scratch(spark)
+    entry = lambda i: (C("s_acctbal") + i * 0.5).cast("string")
+    lines = F.concat_ws("\n", *(F.concat_ws(" ", *(entry(4 * r + c) for c in range(4))) for r in range(3)))
+    d.table(spark, sf, "supplier").select(C("s_suppkey").alias("camera"), lines.alias("value")).repartition("camera").write.partitionBy("camera").text(folder)
+    read = readers.read_projection_matrix(spark, f"{folder}/*/*")
+    return read.select(F.regexp_extract("img_id", "camera=([0-9]+)/", 1).cast("bigint").alias("camera"), F.posexplode("m").alias("i", "value")).select("camera", "i", q("value").alias("value"))
+
+
+@query("read_asc_grid", d.select_sql(d.RASTER, f"""SELECT "row" AS grid, col, {Q('value')} AS value, 2.5::DOUBLE AS cellsize FROM raster"""))
+def read_asc_grid(spark, sf):
+    """One grid file of one line per raster row, voids as nodata."""
+    folder, raster = _scratch(spark), d.raster(spark, sf)
+    width = raster.agg(F.max("col") + 1).first()[0] or 1
+    cells = raster.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("col", C("value").cast("string")))).alias("_m"))
+    line = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(C("_m")[i], F.lit("-9999"))), " ")
+    head = f"ncols {width}\nnrows 1\nxllcorner 0\nyllcorner 0\ncellsize 2.5\nNODATA_value -9999\n"
+    cells.select(C("row").alias("grid"), F.concat(F.lit(head), line).alias("value")).repartition("grid").write.partitionBy("grid").text(folder)
+    read, meta = readers.read_asc_grid(spark, f"{folder}/*/*")
+    sized = read.join(meta.select(C("file").alias("raster_id"), "cellsize"), "raster_id")
+    return sized.select(F.regexp_extract("raster_id", "grid=([0-9]+)/", 1).cast("int").alias("grid"), C("col").cast("int").alias("col"), q("value").alias("value"), "cellsize")
+
+
+@query("read_normals", d.select_sql(d.PTS, f"SELECT count(*) AS n, {Q('sum(x)', 3)} AS sx, {Q('sum(y)', 3)} AS sy, {Q('sum(z)', 3)} AS sz FROM pts"))
+def read_normals(spark, sf):
+    folder = _scratch(spark)
+    d.points(spark, sf).select(F.concat_ws(" ", "x", "y", "z")).write.text(folder)
+    return readers.read_normals(spark, folder).agg(F.count(F.lit(1)).alias("n"), *(q(F.sum(f"n{a}"), 3).alias(f"s{a}") for a in "xyz"))
+
+
+@query("read_ptx", d.select_sql(d.PTS, f"""SELECT cloud_id, x::INT AS scan, count(*) AS n, {Q('sum(y)', 3)} AS sy, sum((intensity * 100)::INT)::DOUBLE AS si, 4.0::DOUBLE AS trace
+FROM pts WHERE x <> 0 OR y <> 0 OR z <> 0 GROUP BY 1, 2"""))
+def read_ptx(spark, sf):
+    """One scan file per cloud and x."""
+    folder = _scratch(spark)
+    pts = d.points(spark, sf).withColumn("scan", C("x").cast("int"))
+    line = F.concat_ws(" ", "x", "y", "z", F.round(C("intensity") * 100).cast("int"))
+    scans = pts.groupBy("cloud_id", "scan").agg(F.count(F.lit(1)).alias("n"), F.concat_ws("\n", F.collect_list(line)).alias("rows"))
+    head = F.concat(C("n").cast("string"), F.lit("\n1\n0 0 0\n1 0 0\n0 1 0\n0 0 1\n1 0 0 0\n0 1 0 0\n0 0 1 0\n0 0 0 1\n"))
+    scans.select("cloud_id", "scan", F.concat(head, C("rows")).alias("value")).repartition("cloud_id", "scan").write.partitionBy("cloud_id", "scan").text(folder)
+    rows, poses = readers.read_ptx(spark, f"{folder}/*/*/*")
+    trace = poses.select(C("cloud_id").alias("_c"), sum((C("m")[i] for i in (5, 10, 15)), C("m")[0]).alias("trace"))
+    named = rows.join(trace, C("cloud_id") == C("_c")).select(F.regexp_extract("path", "cloud_id=([^/]+)/", 1).alias("cloud_id"), F.regexp_extract("path", "scan=([0-9]+)/", 1).cast("int").alias("scan"), "y", "intensity", "trace")
+    return named.groupBy("cloud_id", "scan").agg(F.count(F.lit(1)).alias("n"), q(F.sum("y"), 3).alias("sy"), F.sum("intensity").alias("si"), F.max("trace").alias("trace"))

@@ -64,14 +64,14 @@ def read_pts(spark: SparkSession, path: str, merge: bool = True) -> DataFrame:
 
 def read_ptx(spark: SparkSession, path: str, remove_empty: bool = True) -> tuple[DataFrame, DataFrame]:
     """(points, poses): scans of two size lines, four scanner lines, a 4x4 matrix and rows; ``remove_empty`` drops rows
-    with a zero coordinate."""
+    whose three coordinates are all zero, the mark of a missing return (one zero coordinate is a place like any other)."""
     lines = numbered_lines(spark, path)
     single = lines.where(F.size("t") == 1).withColumn("_k", F.row_number().over(Window.partitionBy("file").orderBy("line")))
     starts = single.where(C("_k") % 2 == 1).select("file", C("line").alias("first"))
     placed = _sections(lines, starts).withColumns({"cloud_id": F.concat_ws("#", "file", "section"), "_o": C("line") - C("first")})
     rows = placed.where(C("_o") >= 10).select("cloud_id", (C("_o") - 10).alias("point_id"), *_point_columns(), C("file").alias("path"))
     if remove_empty:
-        rows = rows.where((C("x") != 0) & (C("y") != 0) & (C("z") != 0))
+        rows = rows.where((C("x") != 0) | (C("y") != 0) | (C("z") != 0))
     matrix = placed.where(C("_o").between(6, 9)).groupBy("cloud_id").agg(F.sort_array(F.collect_list(F.struct("_o", "t"))).alias("_m"))
     poses = matrix.select("cloud_id", F.transform(F.flatten(F.transform("_m", lambda r: r["t"])), lambda v: v.cast("double")).alias("m"))
     return rows, poses
