@@ -70,6 +70,20 @@ def normals_hybrid(spark, sf):
     return joins.per_point(pts, features.normals_hybrid(joins.positions(pts), edges)).select("point_id", *rounded(N3, 4))
 
 
+NEAREST = ["near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY dist, nid) AS r FROM edges) WHERE r <= 12)",
+           HYBRID[0].replace("FROM edges", "FROM near"), HYBRID[1]]
+
+
+@query("normals_hybrid_radius_knn", d.select_sql(EDGES + NEAREST, f"""
+, turned AS (SELECT pts.point_id, px, py, pz, CASE WHEN -(px * x + py * y + pz * z) < 0 THEN -1 ELSE 1 END AS s
+  FROM pts LEFT JOIN eig USING (point_id))
+SELECT point_id, {Q('s * px', 4)} AS nx, {Q('s * py', 4)} AS ny, {Q('s * pz', 4)} AS nz FROM turned""".lstrip()))
+def normals_hybrid_radius_knn(spark, sf):
+    """Normals over the true hybrid neighbourhood: the 12 nearest points, within the radius."""
+    pts = d.spread_points(spark, sf)
+    return features.normals_hybrid(pts, joins.radius_knn(pts, 12, RADIUS)).select("point_id", *rounded(N3, 4))
+
+
 # Search radius proportional to the range: 0.1 % per unit.
 REACH = 30.0
 
