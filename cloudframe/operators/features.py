@@ -365,35 +365,72 @@ def curvature_euler(edges: DataFrame, normal: tuple[str, ...] = ("cnx", "cny", "
     return fit.select("point_id", ((C("_p0") + C("_p2") + root) / 2).alias("k1"), ((C("_p0") + C("_p2") - root) / 2).alias("k2"))
 
 
-def curvature_external(edges: DataFrame, sectors: int = 16) -> DataFrame:
-    """Absolute curvature from the outer ring of the neighbourhood: a quarter of the sum of edge length times the angle
-    between the triangles on both sides of the edge.
-
-    The ring is the farthest neighbour (in XY) of each of ``sectors`` directions, a bounded stand-in for the corners of
-    the convex hull that needs one ``max_by`` per direction and no list of neighbours.
+def _corners(x: np.ndarray, y: np.ndarray) -> list[int]:
+    """Corners of the convex hull, counter-clockwise from the leftmost (Andrew's chain); rows come sorted by x, then y."""
+    def half(order: range) -> list[int]:
+        chain: list[int] = []
+        for i in order:
+            while len(chain) > 1 and ((x[chain[-1]] - x[chain[-2]]) * (y[i] - y[chain[-2]]) - (y[chain[-1]] - y[chain[-2]]) * (x[i] - x[chain[-2]])) <= 0:
+                chain.pop()
+            chain.append(i)
+        return chain[:-1]
+
+    return half(range(len(x))) + half(range(len(x) - 1, -1, -1)) if len(x) > 1 else list(range(len(x)))
+
+
+def _bend_sum(corners: np.ndarray, closed: bool) -> float:
+    """A quarter of the sum of edge length times the angle between the triangles before and after the edge."""
+    ring = np.vstack([corners, corners[:1]]) if closed else corners
+    normals = np.cross(ring[:-1], ring[1:])
+    size = np.linalg.norm(normals, axis=1)
+    normals = np.divide(normals, size[:, None], out=np.zeros_like(normals), where=size[:, None] > 0)
+    before, after, edges = (np.roll(normals, 1, axis=0), normals, corners) if closed else (normals[:-1], normals[1:], corners[1:-1])
+    flat = (np.abs(before).sum(axis=1) == 0) | (np.abs(after).sum(axis=1) == 0)  # a triangle without area bends nothing
+    angles = np.where(flat, 0.0, np.arccos(np.clip((before * after).sum(axis=1), -1, 1)))
+    return float(0.25 * (np.linalg.norm(edges, axis=1) * angles).sum())
+
+
+def curvature_external(edges: DataFrame) -> DataFrame:
+    """Absolute curvature from the outer ring of the neighbourhood, the corners of its convex hull in XY: a quarter of the
+    sum of edge length times the angle between the triangles on both sides of the edge.
+
+    A centre that is a corner itself has an open ring.  NULL with fewer than three corners.  Hulls are merged: each batch
+    of edges keeps its own corners before the shuffle, and the hull of those is that of all.
     """
-    width = 2 * math.pi / sectors
-    angle = F.atan2(C("dy"), C("dx"))
-    flat = C("dx") * C("dx") + C("dy") * C("dy")
-    placed = edges.where(flat > 0).withColumn("_sector", F.least(F.lit(sectors - 1), F.floor((angle + math.pi) / width)).cast("int"))
-    placed = placed.withColumn("_v", F.struct(flat.alias("f"), C("nid"), angle.alias("a"), *DELTA))
-    corners = placed.groupBy("point_id", "_sector").agg(F.max("_v").alias("_v"))
-    rings = corners.groupBy("point_id").agg(F.sort_array(F.collect_list(F.struct("_sector", "_v"))).alias("_ring"))
-    vec = lambda e: [e["_v"][c] for c in DELTA]
-    n = F.size("_ring")
-    ring = rings.where(n >= 3)
-    at = lambda i: F.element_at(C("_ring"), (F.pmod(i, n) + 1).cast("int"))
-    index = F.sequence(F.lit(0), n - 1)
-    def normal_at(i):
-        c = linalg.cross(vec(at(i)), vec(at(i + 1)))
-        return F.array(*geometry.unit(c))
-    ring = ring.withColumn("_normals", F.transform(index, normal_at))
-    def term(i):
-        after, before = F.element_at(C("_normals"), i + 1), F.element_at(C("_normals"), (F.pmod(i - 1, n) + 1).cast("int"))
-        cosine = linalg.dot([after[j] for j in range(3)], [before[j] for j in range(3)])
-        bend = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))
-        return F.coalesce(linalg.norm(vec(at(i))) * bend, F.lit(0.0))
-    return ring.select("point_id", (F.aggregate(F.transform(index, term), F.lit(0.0), lambda a, t: a + t) * 0.25).alias("curvature"))
+    kind = {f.name: f.dataType.simpleString() for f in edges.schema}
+    columns = ["point_id", "nid", *DELTA]
+    schema = ", ".join(f"{c} {kind[c]}" for c in columns)
+
+    def outer(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["point_id", "dx", "dy", "nid"]).drop_duplicates(["point_id", "dx", "dy"])
+        kept = []
+        x, y = frame["dx"].to_numpy(), frame["dy"].to_numpy()
+        starts = np.flatnonzero(np.concatenate(([True], frame["point_id"].to_numpy()[1:] != frame["point_id"].to_numpy()[:-1]))) if len(frame) else []
+        for i, j in zip(starts, [*starts[1:], len(frame)]):
+            kept += [i + c for c in _corners(x[i:j], y[i:j])]
+        return frame.iloc[kept]
+
+    def reduce(frames):
+        for frame in frames:
+            yield outer(frame)
+
+    def measured(dx: np.ndarray, dy: np.ndarray, dz: np.ndarray) -> float | None:
+        new = np.concatenate(([True], (dx[1:] != dx[:-1]) | (dy[1:] != dy[:-1])))  # of places above one another the first
+        xyz = np.vstack([np.stack([dx, dy, dz], axis=1)[new], np.zeros((1, 3))])
+        xyz = xyz[np.lexsort((xyz[:, 1], xyz[:, 0]))]
+        at = _corners(xyz[:, 0], xyz[:, 1])
+        own = [k for k, i in enumerate(at) if not xyz[i, :2].any()]
+        ring = at[own[0] + 1:] + at[:own[0]] if own else at
+        return _bend_sum(xyz[ring], closed=not own) if len(at) >= 3 else None
+
+    @F.pandas_udf("double")
+    def measure(dx: pd.Series, dy: pd.Series, dz: pd.Series) -> pd.Series:
+        return pd.Series([measured(*one) for one in zip(dx, dy, dz)], dtype="float64")
+
+    flat = edges.where("dx <> 0 OR dy <> 0").select(*columns)
+    ring = F.sort_array(F.collect_list(F.struct("dx", "dy", "nid", "dz")))  # corners of corners: few
+    rings = flat.mapInPandas(reduce, schema).groupBy("point_id").agg(ring.alias("_ring"))
+    return rings.select("point_id", measure(*(C(f"_ring.{c}") for c in DELTA)).alias("curvature"))
 
 
 def zero_crossing(edges: DataFrame, curvature: str = "k", neighbor_curvature: str = "nk") -> DataFrame:

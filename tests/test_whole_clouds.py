@@ -139,3 +139,20 @@ def test_las_of_version_4_and_compressed(spark, tmp_path):
     (tmp_path / "q.las").write_bytes(bytes(header) + record(100, 40))
     with pytest.raises(Exception, match="uncompressed"):
         readers.read_las(spark, str(tmp_path / "q.las")).collect()
+
+
+def test_external_curvature_uses_every_corner_of_the_hull(spark):
+    rng = random.Random(8)
+    ring = [(math.cos(2 * math.pi * i / 40), math.sin(2 * math.pi * i / 40), -1 - 0.2 * (i % 2)) for i in range(40)]
+    inner = [(r * math.cos(t), r * math.sin(t), 0.3) for r, t in ((rng.uniform(0.1, 0.7), rng.uniform(0, 7)) for _ in range(300))]
+    corner = [(1.0, 0.0, 0.5), (1.0, 1.0, 0.0), (0.0, 1.0, 0.5), (0.5, 0.5, 9.0), (1.0, 1.0, 7.0)]
+    rows = [("cone", i, *p) for i, p in enumerate(ring + inner)] + [("corner", i, *p) for i, p in enumerate(corner)] + [("line", 0, 1.0, 1.0, 0.0), ("line", 1, 2.0, 2.0, 0.0)]
+    edges = spark.createDataFrame(rows, "point_id string, nid long, dx double, dy double, dz double").repartition(5)
+
+    def bend(a, b, c):  # the edge to b between the triangles (a, b) and (b, c)
+        n = [[u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]] for u, v in ((a, b), (b, c))]
+        return math.hypot(*b) * math.acos(sum(p * q for p, q in zip(*n)) / math.hypot(*n[0]) / math.hypot(*n[1]))
+
+    got = {r.point_id: r.curvature for r in features.curvature_external(edges).collect()}
+    assert got["cone"] == pytest.approx(0.25 * sum(bend(ring[i - 1], ring[i], ring[(i + 1) % 40]) for i in range(40)))
+    assert got["corner"] == pytest.approx(0.25 * bend(*corner[:3])) and got["line"] is None
