@@ -261,7 +261,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", lang: str
     return docs.mapInArrow(run, schema)
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def keep_identified(docs: DataFrame, least: float = 0.3, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of ``docs``, with their columns, whose language is known with a score of ``least``."""
     label, score = common.fresh(docs, "lang_pred", "lang_score")
     return identify(docs, fit(docs, doc_id, text, lang), text, label, score).where((C(label) != UNKNOWN) & (C(score) >= least)).select(*docs.columns)
