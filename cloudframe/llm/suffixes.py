@@ -138,50 +138,58 @@ def _sorted_part(grams: list[int], left: list[bytes], right: list[bytes], least:
 def _samples(docs: DataFrame, id_type: str, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, parts = [], []
+            rows, grams, places = [], [], []
             for i, text in enumerate(batch.column(2)):
                 data = np.frombuffer(text.as_py(), np.uint8)
                 if len(data) >= length:
-                    parts.append(sampled(data, length))
-                    rows.append(np.full(len(parts[-1][0]), i))
-            if parts:
+                    gram, place, _, _ = sampled(data, length)
+                    rows.append(np.full(len(gram), i))
+                    grams.append(gram)
+                    places.append(place)
+            if rows:
                 keys = batch.select(["_id", "_hash"]).take(pa.array(np.concatenate(rows)))
-                yield pa.RecordBatch.from_arrays([*keys.columns, *[pa.array(np.concatenate(p)) for p in zip(*parts)]], ["_id", "_hash", "_gram", "_place", "_first", "_last"])
+                yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(np.concatenate(grams)), pa.array(np.concatenate(places))], ["_id", "_hash", "_gram", "_place"])
 
-    return docs.mapInArrow(run, f"_id {id_type}, _hash bigint, _gram bigint, _place bigint, _first bigint, _last bigint")
+    return docs.mapInArrow(run, f"_id {id_type}, _hash bigint, _gram bigint, _place bigint")
 
 
-def _bodies(rows: DataFrame, id_type: str, length: int, with_bytes: bool) -> DataFrame:
-    """From documents with their sampled places: bodies (each once a batch, with its number), or where each body occurs."""
+def _around(data: bytes, wanted: list[int], length: int) -> Iterator[tuple[bytes, int, int, int, int]]:
+    """``name, gram, place, first, last`` of the wanted sampled places; equal bodies around equal places have equal names."""
+    gram, place, first, last = sampled(np.frombuffer(data, np.uint8), length)
+    picked = np.isin(place, wanted)
+    for g, p, f, l in zip(*(x[picked].tolist() for x in (gram, place, first, last))):
+        salt = (p - f).to_bytes(8, "little") + (g & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "little")
+        yield hashlib.blake2b(data[f:l + length], digest_size=16, salt=salt).digest(), g, p, f, l
+
+
+def _occurrences(rows: DataFrame, id_type: str, length: int) -> DataFrame:
+    """Where each body occurs: ``_id, _hash, _body, _place``, from documents with the places whose gram occurs twice."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bodies: dict[bytes, list] = {}
-            rows_, names, starts = [], [], []
-            for i, (text, places) in enumerate(zip(batch.column(2), batch.column(3))):
-                data = text.as_py()
-                for p in places.as_py():
-                    gram, place, first, last = p["_gram"], p["_place"], p["_first"], p["_last"]
-                    body = data[first:last + length]
-                    name = hashlib.blake2b(body, digest_size=16, salt=(place - first).to_bytes(8, "little") + (gram & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "little")).digest()
-                    if with_bytes:
-                        known = bodies.setdefault(name, [gram, data[first:place], data[place:last + length], place - last, 0])
-                        known[4] += 1
-                    else:
-                        rows_.append(i)
-                        names.append(name)
-                        starts.append(place)
-            if with_bytes and bodies:
-                columns = list(zip(*bodies.values()))
-                yield pa.RecordBatch.from_arrays([pa.array(list(bodies), pa.binary()), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()),
-                                                  pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int64())],
-                                                 ["_body", "_gram", "_left", "_right", "_least", "_count"])
-            elif rows_:
-                keys = batch.select(["_id", "_hash"]).take(pa.array(rows_))
+            found = [(i, name, p) for i, (text, places) in enumerate(zip(batch.column(2), batch.column(3)))
+                     for name, _, p, _, _ in _around(text.as_py(), places.as_py(), length)]
+            if found:
+                picked, names, starts = zip(*found)
+                keys = batch.select(["_id", "_hash"]).take(pa.array(picked))
                 yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(names, pa.binary()), pa.array(starts, pa.int64())], ["_id", "_hash", "_body", "_place"])
 
-    schema = ("_body binary, _gram bigint, _left binary, _right binary, _least bigint, _count bigint" if with_bytes
-              else f"_id {id_type}, _hash bigint, _body binary, _place bigint")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, f"_id {id_type}, _hash bigint, _body binary, _place bigint")
+
+
+def _bodies(rows: DataFrame, length: int) -> DataFrame:
+    """The bodies themselves, from documents with the places and names of those that they stand for."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, chosen in zip(batch.column(2), batch.column(3)):
+                data, count = text.as_py(), {c["_body"]: c["_count"] for c in chosen.as_py()}
+                out += [(name, g, data[f:p], data[p:l + length], p - l, count[name])
+                        for name, g, p, f, l in _around(data, [c["_place"] for c in chosen.as_py()], length) if name in count]
+            if out:
+                kinds = [pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["_body", "_gram", "_left", "_right", "_least", "_count"])
+
+    return rows.mapInArrow(run, "_body binary, _gram bigint, _left binary, _right binary, _least bigint, _count bigint")
 
 
 def _repeated(bodies: DataFrame, length: int) -> DataFrame:
@@ -202,8 +210,7 @@ def _repeated(bodies: DataFrame, length: int) -> DataFrame:
             for row in zip(*[c.to_pylist() for c in batch.columns]):
                 body, gram, left, right, least, count = row
                 if held and held[-1][0] == body:
-                    held[-1][5] += count  # the same body from another batch
-                    continue
+                    continue  # a repeated row has sent it again
                 if size > IN_MEMORY and held[-1][1] != gram:
                     yield done()
                     size = 0
@@ -228,10 +235,14 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     samples = _samples(rows, id_type, length)
     twice = samples.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     known = common.lookup(samples, twice, ["_gram"], ["_id", "_hash", "_place"])
-    places = known.groupBy("_id", "_hash").agg(F.collect_set(F.struct("_gram", "_place", "_first", "_last")).alias("_places"))
-    with_places = common.join_null_safe(rows, places, ["_id", "_hash"]).select("_id", "_hash", "_text", "_places")
-    runs = _repeated(_bodies(with_places, id_type, length, True), length)
-    where = _bodies(with_places, id_type, length, False)
+    places = known.groupBy("_id", "_hash").agg(F.collect_set("_place").alias("_places"))
+    where = _occurrences(common.join_null_safe(rows, places, ["_id", "_hash"]).select("_id", "_hash", "_text", "_places"), id_type, length)
+    # Each body is sent once, by the first of the documents that have it.
+    first = where.groupBy("_body").agg(F.count(F.lit(1)).alias("_count"), F.min(F.struct("_id", "_hash", "_place")).alias("_f"))
+    chosen = (first.groupBy(C("_f._id").alias("_id"), C("_f._hash").alias("_hash"))
+              .agg(F.collect_list(F.struct("_body", "_count", C("_f._place").alias("_place"))).alias("_chosen")))
+    bodies = _bodies(common.join_null_safe(rows, chosen, ["_id", "_hash"]).select("_id", "_hash", "_text", "_chosen"), length)
+    runs = _repeated(bodies, length)
     marked = (common.lookup(where, runs, ["_body"], ["_id", "_hash", "_place"]).select("_id", "_hash", "_place", F.explode("_runs").alias("_r"))
               .groupBy("_id", "_hash").agg(F.collect_set(F.struct((C("_place") - C("_r._far")).alias("_from"), (C("_place") - C("_r._near") + length).alias("_to"))).alias("_spans")))
     joined = common.join_null_safe(rows, marked, ["_id", "_hash"], "left").select("_id", "_hash", "_text", F.sort_array("_spans").alias("_spans"))
