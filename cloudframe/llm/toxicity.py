@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cloudframe.lineage import cut_lineage
 from cloudframe.llm import common
@@ -125,8 +125,7 @@ def _examples(labels: DataFrame, doc_id: str, label: str, per_label: int) -> Dat
     """``_id2, _label``: at most ``per_label`` rows of each label, the first by hash; a document with both is toxic."""
     one = (labels.where(C(label).isNotNull() & C(doc_id).isNotNull() & ~held_out(C(doc_id)))
            .groupBy(C(doc_id).alias("_id2")).agg(F.max((C(label) == 1).cast("int")).alias("_label")))
-    first = F.row_number().over(Window.partitionBy("_label").orderBy(F.xxhash64("_id2"), "_id2"))
-    return one.withColumn("_no", first).where(C("_no") <= per_label).drop("_no")
+    return common.first_by_hash(one, "_label", ["_id2"], per_label).drop("_no")
 
 
 def _terms_of(examples: DataFrame) -> DataFrame:

@@ -186,3 +186,11 @@ def test_sorting_on_disk_gives_the_same(monkeypatch):
     in_memory = suffixes._sorted_part(*args)
     monkeypatch.setattr(suffixes, "IN_MEMORY", 10)
     assert suffixes._sorted_part(*args) == in_memory and any(f for f, _ in in_memory)
+
+
+def test_first_by_hash_of_a_large_and_a_small_key(spark):
+    df = spark.range(20_000).select("id", F.when(F.col("id") < 7, "few").otherwise("many").alias("k"))
+    got = common.first_by_hash(df, "k", ["id"], 50).collect()
+    want = [r.id for r in df.where("k = 'many'").orderBy(F.xxhash64("id"), "id").limit(50).collect()]
+    assert [r.id for r in sorted(got, key=lambda r: r._no) if r.k == "many"] == want
+    assert sorted(r.id for r in got if r.k == "few") == list(range(7))
