@@ -13,8 +13,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from cloudframe.lineage import cut_lineage
 from cloudframe.llm import common
 from cloudframe.llm.common import C
 
@@ -208,9 +209,8 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     """
     usable = docs.where(C(lang).isNotNull() & C(text).isNotNull() & ~held_out(C(doc_id)))
     rows = usable.select(C(lang).cast("string").alias("_lang"), C(doc_id).alias("_id"), common.text_key(text).alias("_hash"), C(text).alias("_text"))
-    order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id", "_hash"), "_id", "_hash")
-    chosen = (rows.drop("_text").distinct().withColumn("_no", F.row_number().over(order)).where(C("_no") <= per_language)
-              .withColumnsRenamed({"_id": "_id2", "_hash": "_hash2", "_lang": "_lang2"}))
+    chosen = cut_lineage(common.first_by_hash(rows.drop("_text").distinct(), "_lang", ["_id", "_hash"], per_language)
+                         .withColumnsRenamed({"_id": "_id2", "_hash": "_hash2", "_lang": "_lang2"}))
     meet = C("_hash").eqNullSafe(C("_hash2")) & C("_id").eqNullSafe(C("_id2")) & (C("_lang") == C("_lang2"))
     sample = rows.join(chosen, meet).select("_lang", "_text", "_no", F.pmod(C("_no"), F.lit(PARTS)).alias("_part")).dropDuplicates(["_lang", "_no"])
     labels = sorted((r[0] for r in chosen.select("_lang2").distinct().collect()), key=lambda x: x.encode())
