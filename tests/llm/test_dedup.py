@@ -11,7 +11,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from cloudframe.llm import common, exact, graph, queries, simhash, suffixes
+import corpus_pipeline
+from cloudframe.llm import common, exact, graph, jaccard, queries, simhash, suffixes
 
 from .conftest import SMALL
 
@@ -194,3 +195,44 @@ def test_first_by_hash_of_a_large_and_a_small_key(spark):
     want = [r.id for r in df.where("k = 'many'").orderBy(F.xxhash64("id"), "id").limit(50).collect()]
     assert [r.id for r in sorted(got, key=lambda r: r._no) if r.k == "many"] == want
     assert sorted(r.id for r in got if r.k == "few") == list(range(7))
+
+
+def brute_near(texts):
+    """The smallest number in each group that pairs with a Jaccard similarity of 0.8 connect."""
+    sets = []
+    for t in texts:
+        words = re.findall("[^\x20\x09-\x0d]+", (t or "").translate(LOWER))
+        sets.append({tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    group = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                x, y = sorted((group[i], group[j]))
+                group = [x if g == y else g for g in group]
+    return group
+
+
+def edited(random_, n, edits, words):
+    """``n`` copies of a text, each with a few words replaced."""
+    out = []
+    for _ in range(n):
+        copy = list(words)
+        for _ in range(random_.randint(0, edits)):
+            copy[random_.randrange(len(copy))] = f"w{random_.randrange(10**6)}"
+        out.append(" ".join(copy))
+    return out
+
+
+@pytest.mark.parametrize("pairs", [16, 0])
+def test_near_duplicates_are_those_of_the_stage_rule(spark, monkeypatch, pairs):
+    """At similarities around 0.8, where fingerprints mostly differ in more than 4 of 64 bits."""
+    monkeypatch.setattr(jaccard, "PAIRS", pairs)
+    r, texts = random.Random(3), []
+    passage = [f"p{i}" for i in range(60)]  # one that all have
+    for _ in range(6):
+        texts += edited(r, 12, 5, passage + [f"w{r.randrange(10**6)}" for _ in range(r.randint(30, 200))])
+    texts += ["", None, "A b", "a  B", "one two three four five", "one two three four six"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = set(brute_near(texts))
+    assert {x.doc_id for x in corpus_pipeline.near_dedup(spark, df, None).collect()} == want
+    assert len(set(brute_components({i: brute_fingerprint(t) for i, t in enumerate(texts)}).values())) > len(want)
