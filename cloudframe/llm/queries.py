@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cloudframe.llm import chat, common, decontaminate, exact, language, licenses, mixing, pii, simhash, suffixes, toxicity
+from cloudframe.llm import chat, common, decontaminate, divergence, exact, language, licenses, mixing, pii, simhash, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -108,3 +108,29 @@ def op4_licenses(spark, sf_dir):
 def op8_repeats(spark, sf_dir):
     cut = suffixes.remove_repeats(common.documents(spark, sf_dir))
     return cut.select(F.col("_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+DIVERGENCE_ORACLE = rf"""
+    WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {LOWER} AS t FROM documents),
+    w AS (SELECT id, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+    k AS (SELECT lang, term, count(*) AS total FROM w GROUP BY 1, 2 HAVING count(DISTINCT id) >= 3),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    c AS (SELECT g.lang, g.source, k.term, k.total, coalesce(o.n, 0) AS n
+          FROM g JOIN k USING (lang) LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM w GROUP BY 1, 2, 3) o USING (lang, source, term)),
+    p AS (SELECT lang, source, term, n,
+                 1 + (1000000000 * (n + 1)::HUGEINT) // (sum(n) OVER (PARTITION BY lang, source) + count(*) OVER (PARTITION BY lang, source)) AS p,
+                 1 + (1000000000 * (total + 1)::HUGEINT) // (sum(total) OVER (PARTITION BY lang, source) + count(*) OVER (PARTITION BY lang, source)) AS q
+          FROM c),
+    s AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+          FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+    u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+          UNION ALL SELECT lang, source, 'term', term, (((p - q) * (p - q)) // q)::BIGINT FROM p WHERE n > 0 AND p > q),
+    r AS (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM u)
+    SELECT * FROM r WHERE part = 'pair' OR rank <= 200"""
+
+
+@query("op13_divergence", DIVERGENCE_ORACLE)
+def op13_divergence(spark, sf_dir):
+    return divergence.audit(common.documents(spark, sf_dir))
