@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cloudframe.llm import chat, common, decontaminate, divergence, exact, language, licenses, mixing, pii, simhash, suffixes, toxicity
+from cloudframe.llm import chat, common, decontaminate, divergence, exact, language, licenses, mixing, pii, simhash, suffixes, toxicity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -134,3 +134,8 @@ DIVERGENCE_ORACLE = rf"""
 @query("op13_divergence", DIVERGENCE_ORACLE)
 def op13_divergence(spark, sf_dir):
     return divergence.audit(common.documents(spark, sf_dir))
+
+
+@query("op11_whitening")
+def op11_whitening(spark, sf_dir):
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
