@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cloudframe.llm import chat, common, decontaminate, divergence, exact, language, licenses, mixing, pii, simhash, suffixes, toxicity, whitening
+from cloudframe.llm import chat, common, decontaminate, divergence, exact, language, licenses, mixing, pages, pii, simhash, suffixes, toxicity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -139,3 +139,8 @@ def op13_divergence(spark, sf_dir):
 @query("op11_whitening")
 def op11_whitening(spark, sf_dir):
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query("op12_main_text")
+def op12_main_text(spark, sf_dir):
+    return pages.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
