@@ -31,7 +31,7 @@ from cloudframe.skew import MOST_BROADCAST
 BILLION = 1_000_000_000
 #: Sums of words that a task holds before it hands them on, bytes of text that it cuts into words at a time (a longer text
 #: is cut as one), and pairs of sources sharing a word that it works out at a time.
-HELD, _BYTES, _PAIRS = 1_000_000, 1 << 24, 1 << 20
+HELD, _BYTES, _PAIRS = 600_000, 1 << 22, 1 << 20
 # A-Z in lower case, a-z and all bytes of longer characters stay, everything else parts words.
 _LETTERS = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 0 for c in range(256)], np.uint8)
 _COUNTED = "lang string, source string, term string, docs bigint, n bigint, fresh boolean"
@@ -50,7 +50,7 @@ def _sums_of_words(texts: pa.Array, group: np.ndarray) -> tuple[np.ndarray, pa.A
     cuts = offsets[:-1][letter[offsets[:-1]]]  # a word ends with its text
     first[cuts] = True
     starts = np.flatnonzero(first)
-    letters = np.concatenate(([0], np.cumsum(letter)))
+    letters = np.concatenate(([0], np.cumsum(letter, dtype=np.int32)))
     ends = np.append(letters[starts[1:]], letters[-1])
     buffers = [None, pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32)), pa.py_buffer(mapped[letter[:-1]])]
     words = pa.Array.from_buffers(pa.string(), len(starts), buffers).dictionary_encode()
