@@ -30,8 +30,9 @@ from cloudframe.skew import MOST_BROADCAST
 
 BILLION = 1_000_000_000
 #: Sums of words that a task holds before it hands them on, bytes of text that it cuts into words at a time (a longer text
-#: is cut as one), and pairs of sources sharing a word that it works out at a time.
-HELD, _BYTES, _PAIRS = 600_000, 1 << 22, 1 << 20
+#: is cut as one), pairs of sources sharing a word that it works out at a time,
+#: and rows that it hands on at a time.
+HELD, _BYTES, _PAIRS, _ROWS = 800_000, 1 << 22, 1 << 20, 1 << 14
 # A-Z in lower case, a-z and all bytes of longer characters stay, everything else parts words.
 _LETTERS = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 0 for c in range(256)], np.uint8)
 _COUNTED = "lang string, source string, term string, docs bigint, n bigint, fresh boolean"
@@ -73,21 +74,23 @@ def word_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     """
     rows = docs.select(F.coalesce(C(lang).cast("string"), F.lit("")).alias("lang"), F.coalesce(C(source).cast("string"), F.lit("")).alias("source"),
                        F.coalesce(C(text), F.lit("")).cast("binary").alias("text"))
-    keys = ["lang", "source", "term"]
 
     def merged(held: list[pa.Table]) -> pa.Table:
-        summed = pa.concat_tables(held).group_by(keys).aggregate([("docs", "sum"), ("n", "sum")])
-        return summed.rename_columns({"docs_sum": "docs", "n_sum": "n"}).select([*keys, "docs", "n"])
+        summed = pa.concat_tables(held).group_by(["group", "term"]).aggregate([("docs", "sum"), ("n", "sum")])
+        return summed.rename_columns({"docs_sum": "docs", "n_sum": "n"}).select(["group", "term", "docs", "n"])
 
-    def given(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    def given(table: pa.Table, names: list[list[str]]) -> Iterator[pa.RecordBatch]:
         terms = table["term"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
         fresh = np.zeros(len(table), bool)
         fresh[np.unique(terms, return_index=True)[1]] = True
-        yield from table.append_column("fresh", pa.array(fresh)).to_batches()
+        lang, source = (pa.array(n, pa.string()) for n in names)
+        for part in table.append_column("fresh", pa.array(fresh)).to_batches(_ROWS):
+            columns = [lang.take(part["group"]), source.take(part["group"]), part["term"], part["docs"], part["n"], part["fresh"]]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "docs", "n", "fresh"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
-        rows = 0
+        rows, numbers, names = 0, {}, [[], []]  # the groups of this task
         for batch in batches:
             lengths = pc.binary_length(batch.column(2)).to_numpy()
             part = np.cumsum(lengths, dtype=np.int64) // _BYTES
@@ -95,24 +98,28 @@ def word_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source:
                 if not len(some):
                     continue
                 piece = batch.slice(int(some[0]), len(some))
-                names = [piece.column(i).dictionary_encode() for i in range(2)]
-                wide = len(names[1].dictionary)
-                codes, group = np.unique(names[0].indices.to_numpy().astype(np.int64) * wide + names[1].indices.to_numpy(), return_inverse=True)
+                group = np.empty(len(some), np.int64)
+                for i, name in enumerate(zip(piece.column(0).to_pylist(), piece.column(1).to_pylist())):
+                    if name not in numbers:
+                        numbers[name] = len(numbers)
+                        names[0].append(name[0])
+                        names[1].append(name[1])
+                    group[i] = numbers[name]
                 groups, terms, in_docs, n = _sums_of_words(piece.column(2), group)
-                groups = np.append(groups, np.arange(len(codes)))  # the rows without a word
-                none = np.zeros(len(codes), np.int64)
-                columns = [names[0].dictionary.take(pa.array(codes[groups] // wide)), names[1].dictionary.take(pa.array(codes[groups] % wide)),
-                           pa.concat_arrays([terms, pa.nulls(len(codes), pa.string())]), pa.array(np.append(in_docs, none)), pa.array(np.append(n, none))]
-                held.append(pa.table(columns, [*keys, "docs", "n"]))
-                rows += len(groups)
+                here = np.unique(group)  # the rows without a word
+                none = np.zeros(len(here), np.int64)
+                columns = [pa.array(np.append(groups, here)), pa.concat_arrays([terms, pa.nulls(len(here), pa.string())]),
+                           pa.array(np.append(in_docs, none)), pa.array(np.append(n, none))]
+                held.append(pa.table(columns, ["group", "term", "docs", "n"]))
+                rows += len(held[-1])
                 if rows > HELD:
-                    held = [merged(held)] if len(held) > 1 else held
+                    held = [merged(held)]
                     rows = len(held[0])
                     if 2 * rows > HELD:
-                        yield from given(held[0])
+                        yield from given(held[0], names)
                         held, rows = [], 0
         if held:
-            yield from given(merged(held) if len(held) > 1 else held[0])
+            yield from given(merged(held), names)
 
     return rows.mapInArrow(run, _COUNTED)
 

@@ -54,7 +54,7 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡«»\"“”]")
 
 #: Standard deviation of the smoothing in blocks; least share of the page's best score, in pages that mark no main part and in a main part.
-SIGMA, THRESHOLD, MAIN_THRESHOLD = 1.0, 0.08, 0.001
+SIGMA, THRESHOLD, MAIN_THRESHOLD = 1.0, 0.25, 0.001
 _KERNEL = np.exp(-0.5 * (np.arange(-3, 4) / SIGMA) ** 2)
 
 
@@ -94,8 +94,8 @@ def _opened(tag: str, attributes: str, parent: _Element, paths: dict[tuple[int,
     return _Element(tag, path, bad, main and not bad)
 
 
-def blocks(page: str) -> list[tuple[int, str, bool, bool, int]]:
-    """``path, text, boilerplate, main, characters in links`` of each block of text, in page order; a path is a number."""
+def blocks(page: str) -> list[tuple[int, str, bool, bool, int, bool]]:
+    """``path, text, boilerplate, main, characters in links, heading`` of each block of text, in page order; paths are numbers."""
     out, parts, linked = [], [], 0
     stack, opened = [_Element("", 0, False, False)], Counter()
     paths: dict[tuple[int, str], int] = {}
@@ -106,7 +106,7 @@ def blocks(page: str) -> list[tuple[int, str, bool, bool, int]]:
             text = " ".join("".join(parts).split())
             if text:
                 at = next(e for e in reversed(stack) if e.tag not in INLINE)
-                out.append((at.path, text, at.bad, at.main, min(linked, len(text))))
+                out.append((at.path, text, at.bad, at.main, min(linked, len(text)), at.tag in HEADINGS))
             parts.clear()
         linked = 0
 
@@ -186,7 +186,7 @@ def blocks(page: str) -> list[tuple[int, str, bool, bool, int]]:
 
 
 def _chosen(page: np.ndarray, path: np.ndarray, length: np.ndarray, punctuation: np.ndarray, linked: np.ndarray, bad: np.ndarray,
-            main: np.ndarray) -> np.ndarray:
+            main: np.ndarray, heading: np.ndarray) -> np.ndarray:
     """Which blocks of a batch of pages are content; ``page`` rises, ``path`` numbers the paths of each page."""
     count = np.maximum(np.bincount(path), 1)
     ratio = lambda values: (np.bincount(path, values) / count)[path]
@@ -204,7 +204,10 @@ def _chosen(page: np.ndarray, path: np.ndarray, length: np.ndarray, punctuation:
             weight[a] += k * same
         smooth.append(total / weight)
     free = 1 - np.bincount(path, linked)[path] / np.maximum(np.bincount(path, length)[path], 1)
-    score = ratio(np.log1p(smooth[0]) * (0.5 + np.log1p(smooth[1]))) * np.where(free > 0.5, free, 0.0) * ~bad
+    fused = lambda values: np.log1p(values[0]) * (0.5 + np.log1p(values[1]))
+    around = ratio(fused(smooth))
+    # A heading is judged by what is around it, any other path by that and by itself.
+    score = np.where(heading, around, np.sqrt(around * fused((text, points)))) * np.where(free > 0.5, free, 0.0) * ~bad
     # Where a page marks its main part, what lies beside it is none of it.
     marked = np.zeros(page.max() + 1, bool)
     marked[page[main & (score > 0)]] = True
@@ -243,8 +246,8 @@ def _texts(pages: list[str]) -> list[str]:
     path = np.array([numbers.setdefault((i, b[0], b[2], b[3]), len(numbers)) for i, b in zip(owner, found)])
     length = np.array([len(b[1]) for b in found], float)
     punctuation = np.array([len(_PUNCTUATION.findall(b[1])) for b in found], float)
-    chosen = _chosen(np.array(owner), path, length, punctuation, np.array([b[4] for b in found], float), np.array([b[2] for b in found]),
-                     np.array([b[3] for b in found]))
+    linked, bad, main, heading = (np.array([b[k] for b in found], kind) for k, kind in ((4, float), (2, bool), (3, bool), (5, bool)))
+    chosen = _chosen(np.array(owner), path, length, punctuation, linked, bad, main, heading)
     kept: list[list[str]] = [[] for _ in pages]
     for i, b, yes in zip(owner, found, chosen):
         if yes:

@@ -224,7 +224,7 @@ def whiten(rows: DataFrame, components: int = 4, vec_id: str = "vec_id", embeddi
     n, sums = _sums(fit, d)
     if not n:
         return rows.sparkSession.createDataFrame([], schema)
-    cov = _covariance(fit, n, sums, d)
+    cov, unit = _covariance(fit, n, sums, d)
     values, axes = leading(cov, components)
     trace = float(np.trace(cov))
     real = int((values > EPS * d * trace).sum())
@@ -233,7 +233,7 @@ def whiten(rows: DataFrame, components: int = 4, vec_id: str = "vec_id", embeddi
         return rows.sparkSession.createDataFrame([], schema)
     axes = axes / np.sqrt(values)
     explained = (values / trace).tolist()
-    error = _identity_error(fit, n, sums, axes, d)
+    error = _identity_error(fit, n, sums, axes, d, unit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,7 +241,7 @@ def whiten(rows: DataFrame, components: int = 4, vec_id: str = "vec_id", embeddi
                 continue
             away = _away(batch.column(1).to_pylist(), d, n, sums)
             deviation = [v if v < 1 << 63 else None for v in _squares(away)]
-            projected = (away.astype(float) / n) @ axes
+            projected = _centred(away, n, unit) @ axes
             again = np.repeat(np.arange(batch.num_rows), real)
             pick = lambda array: array.take(pa.array(again))
             yield pa.RecordBatch.from_arrays(
@@ -261,6 +261,11 @@ def _away(raws: list[bytes], d: int, n: int, sums: list[int]) -> np.ndarray:
     return x.astype(object) * n - np.array(sums, object)
 
 
+def _centred(away: np.ndarray, n: int, unit: int) -> np.ndarray:
+    """``x - S / n`` in doubles, in units of ``unit``."""
+    return (away / (n * unit)).astype(float)
+
+
 def _squares(away: np.ndarray) -> list[int]:
     most = int(np.abs(away).max())
     if most * most * away.shape[1] >= 1 << 63:
@@ -316,8 +321,11 @@ def _sums(fit: DataFrame, d: int) -> tuple[int, list[int]]:
     return found.get((0, d), 0), [found.get((0, k), 0) for k in range(d)]
 
 
-def _covariance(fit: DataFrame, n: int, sums: list[int], d: int) -> np.ndarray:
-    """Covariance with divisor n: centred on the rounded mean in whole numbers before multiplying, the rest taken off exactly."""
+def _covariance(fit: DataFrame, n: int, sums: list[int], d: int) -> tuple[np.ndarray, int]:
+    """Covariance with divisor n: centred on the rounded mean in whole numbers before multiplying, the rest taken off exactly.
+
+    It is that of the vectors in units of the second result, 1 unless doubles could not hold it.
+    """
     centre = [round(Fraction(s, n)) for s in sums]
     rest = [s - n * c for s, c in zip(sums, centre)]  # the sums of what is multiplied
     small = max(map(abs, centre)) < 1 << 62
@@ -329,14 +337,15 @@ def _covariance(fit: DataFrame, n: int, sums: list[int], d: int) -> np.ndarray:
         return _products(x.astype(object) - np.array(centre, object))
 
     found = _added(_by_task(fit, summed))
+    exact = {(i, j): Fraction(n * found.get((i, j), 0) - rest[i] * rest[j], n * n) for i in range(d) for j in range(i, d)}
+    unit = 1 << max(0, (int(max(map(abs, exact.values()))).bit_length() - 900) // 2)
     cov = np.empty((d, d))
-    for i in range(d):
-        for j in range(i, d):
-            cov[i, j] = cov[j, i] = float(Fraction(n * found.get((i, j), 0) - rest[i] * rest[j], n * n))
-    return cov
+    for (i, j), value in exact.items():
+        cov[i, j] = cov[j, i] = float(value / (unit * unit))
+    return cov, unit
 
 
-def _identity_error(fit: DataFrame, n: int, sums: list[int], axes: np.ndarray, d: int) -> float:
+def _identity_error(fit: DataFrame, n: int, sums: list[int], axes: np.ndarray, d: int, unit: int) -> float:
     """Largest entry of the covariance of the whitened fit list minus the identity."""
     k = axes.shape[1]
 
@@ -344,7 +353,7 @@ def _identity_error(fit: DataFrame, n: int, sums: list[int], axes: np.ndarray, d
         total, first = np.zeros((k, k)), np.zeros(k)
         for batch in batches:
             if batch.num_rows:
-                w = (_away(batch.column(0).to_pylist(), d, n, sums).astype(float) / n) @ axes
+                w = _centred(_away(batch.column(0).to_pylist(), d, n, sums), n, unit) @ axes
                 total += w.T @ w
                 first += w.sum(axis=0)
         rows = [(a, b, total[a, b]) for a in range(k) for b in range(k)] + [(a, -1, first[a]) for a in range(k)]
