@@ -356,10 +356,10 @@ def frequency_saliency(raster: DataFrame, filters: list[float], by_size: bool =
     return joined.select("row", "col", (total / len(pairs)).alias("value"))
 
 
-def box_mean(raster: DataFrame, rows: int, cols: int) -> DataFrame:
+def box_mean(raster: DataFrame, rows: int, cols: int, border: str = "zero") -> DataFrame:
     """Mean over a box of cells, absent cells as zero, separable."""
-    across = conv2d(raster, [[1.0 / cols] * cols], border="zero")
-    return conv2d(across, [[1.0 / rows]] * rows, border="zero")
+    across = conv2d(raster, [[1.0 / cols] * cols], border=border)
+    return conv2d(across, [[1.0 / rows]] * rows, border=border)
 
 
 def contrast_saliency(raster: DataFrame, region: int, sizes: list[int]) -> DataFrame:

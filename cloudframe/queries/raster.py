@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from cloudframe.functions import geometry
-from cloudframe.operators import graph, joins, points, raster
+from cloudframe.operators import context, graph, joins, points, raster
 from cloudframe.queries import _data as d
 from cloudframe.queries.points import SPH, _sph
 from cloudframe.registry import Q, q, query
@@ -124,6 +124,24 @@ def contrast_saliency(spark, sf):
     return rounded(raster.contrast_saliency(d.raster(spark, sf), 3, [9, 5]), "value")
 
 
+def _context_sql(size: int, k: int) -> list[str]:
+    """Context saliency of one patch size by comparing all pixels."""
+    n = f"c{size}"
+    return [conv_sql(f"{n}_x", [[1.0 / size] * size], border="reflect"), conv_sql(f"{n}_a", [[1.0 / size]] * size, f"{n}_x", "reflect"),
+            f"""{n}_v AS (SELECT "row", col, ("row" - r0)::BIGINT * (c1 - c0 + 1) + col - c0 AS i,
+  floor((value - lo) / (hi - lo) * 1000000 + 0.4876543::DOUBLE)::BIGINT AS v FROM {n}_a, b, (SELECT min(value) AS lo, max(value) AS hi FROM {n}_a))""",
+            f"""{n}_n AS (SELECT q.i AS qi, p."row", p.col, abs(q.v - p.v) AS d, sqrt((q."row" - p."row") ** 2 + (q.col - p.col) ** 2) AS far
+  FROM {n}_v q, {n}_v p WHERE q.i % {size // 2} = 0 QUALIFY row_number() OVER (PARTITION BY q.i ORDER BY abs(q.v - p.v), p.i) <= {k})""",
+            f"{n}_s AS (SELECT qi, 1 - exp(-avg(d / 1000000.0::DOUBLE / (1 + 3 * far))) AS s FROM {n}_n GROUP BY 1)",
+            f"""{n}_l AS (SELECT "row", col, max(qi) AS qi FROM (SELECT "row", col, qi FROM {n}_n UNION ALL SELECT "row", col, i FROM {n}_v WHERE i % {size // 2} = 0) GROUP BY 1, 2)""",
+            f'{n} AS (SELECT "row", col, coalesce(s, 0) AS value FROM {n}_v LEFT JOIN {n}_l USING ("row", col) LEFT JOIN {n}_s USING (qi))']
+
+
+@query("context_saliency", _r(f"""SELECT "row", col, {Q('(c4.value + c2.value + 0) / 3')} AS value FROM c4 JOIN c2 USING ("row", col)""", _context_sql(4, 16) + _context_sql(2, 16)))
+def context_saliency(spark, sf):
+    return context.context_saliency(d.raster(spark, sf), 4, 3, 16).select("row", "col", q("value").alias("value"))
+
+
 _TOTAL = [[sum(k[i][j] for k in raster.directional_kernels(5)) for j in range(5)] for i in range(5)]
 
 

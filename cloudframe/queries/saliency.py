@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from cloudframe.functions import quantiles, weights
-from cloudframe.operators import joins, saliency, smoothing, tensors
+from cloudframe.operators import joins, resolution, saliency, smoothing, tensors
 from cloudframe.plans import cell_curvature, point_features
 from cloudframe.queries import _data as d
 from cloudframe.queries.features import EIGEN
@@ -101,6 +101,42 @@ def directional_saliency(spark, sf):
     return joins.per_point(pts, values).select("point_id", *(q(c, 4).alias(c) for c in ("saliency", "dn", "dk")))
 
 
+SMALLEST, REACH, PER_LEVEL = 2.0, 1.6, 3
+
+
+def _level_sql(level: int) -> list[str]:
+    """Directional saliency of the nodes of one level of cells, straight from the points."""
+    n, side = f"v{level}", SMALLEST * 2 ** level
+    cell = {c: f"(floor(({a} - lo{a}) / {SMALLEST}::DOUBLE)::BIGINT >> {level})" for c, a in zip("ijk", "xyz")}
+    w = f"exp(-((dist / {side}::DOUBLE - {RHO}) ** 2) / (2 * {SIGMA} * {SIGMA})) / (sqrt(2 * pi()) * {SIGMA})"
+    return [f"{n}_t AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in cell.items()) + f""", concat_ws('_', {', '.join(cell.values())}) AS point_id,
+  avg(x) AS x, avg(y) AS y, avg(z) AS z, """ + ", ".join(f"covar_pop({a}, {b}) AS c{a}{b}" for a, b in tensors.PAIRS) + " FROM pts, low GROUP BY ALL)",
+            d.eigen_sql(f"{n}_t", f"{n}_g", vectors=True),
+            f"{n}_p AS (SELECT point_id, i, j, k, x, y, z, px, py, pz, coalesce(l1 / nullif(l1 + l2 + l3, 0), 0) AS kk FROM {n}_g)",
+            d.edges_sql(REACH * side, f"{n}_p", f"{n}_d"),
+            f"""{n}_e AS (SELECT {n}_d.point_id, 1 - (a.px*b.px + a.py*b.py + a.pz*b.pz) AS dn, b.kk - a.kk AS dk, {w} AS w
+  FROM {n}_d JOIN {n}_p a ON a.point_id = {n}_d.point_id JOIN {n}_p b ON b.point_id = {n}_d.nid)""",
+            f"""{n}_s AS (SELECT point_id, count(*) AS n, (count(*) FILTER (WHERE w > 0.01) + {int(CENTRE > 0.01)})::INT AS active,
+  count(*) FILTER (WHERE w > 0.01 AND abs(dn) < 0.016) AS zn, count(*) FILTER (WHERE w > 0.01 AND abs(dk) <= 0.04) AS zk,
+  sum(abs(dn) * w) / sum(w) AS mn, abs(sum(dk * w)) / sum(w) AS mk, stddev_pop(dn) AS sn, stddev_pop(dk) AS sk FROM {n}_e GROUP BY 1)""",
+            f"""{n}_r AS (SELECT point_id, i, j, k, CASE WHEN n IS NULL OR n < 4 OR zn > 0.6 * active OR (n - 1) * sn / 0.01 < lim THEN 0 ELSE coalesce(mn, 0) END AS dn,
+  CASE WHEN n IS NULL OR n < 4 OR zk > 0.6 * active OR (n - 1) * sk / 0.1 < lim THEN 0 ELSE coalesce(mk, 0) END AS dk
+  FROM {n}_p LEFT JOIN {n}_s USING (point_id) LEFT JOIN chi USING (active))""",
+            f"{n}_x AS (SELECT min(dn) AS a, max(dn) AS b, min(dk) AS c, max(dk) AS d FROM {n}_r)",
+            f"""{n} AS (SELECT i, j, k, 0.5 * (CASE WHEN a = 0 AND b = 0 THEN 0 ELSE (dn - a) / (b - a) END)
+  + 0.5 * (CASE WHEN c = 0 AND d = 0 THEN 0 ELSE (dk - c) / (d - c) END) AS s FROM {n}_r, {n}_x)"""]
+
+
+@query("multi_resolution_saliency", d.select_sql(
+    [d.PTS, CHI, "low AS (SELECT min(x) AS lox, min(y) AS loy, min(z) AS loz FROM pts)"] + [c for level in range(PER_LEVEL) for c in _level_sql(level)]
+    + ["spot AS (SELECT point_id, " + ", ".join(f"floor(({a} - lo{a}) / {SMALLEST}::DOUBLE)::BIGINT AS {c}" for c, a in zip("ijk", "xyz")) + " FROM pts, low)"],
+    f"SELECT spot.point_id, {Q('(v0.s + v1.s + v2.s) / 3', 4)} AS saliency, " + ", ".join(f"{Q(f'v{level}.s', 4)} AS saliency_{level}" for level in range(PER_LEVEL))
+    + " FROM spot " + " ".join(f"JOIN v{level} ON " + " AND ".join(f"v{level}.{c} = spot.{c} >> {level}" for c in "ijk") for level in range(PER_LEVEL))))
+def multi_resolution_saliency(spark, sf):
+    found = resolution.multi_resolution_saliency(d.points(spark, sf), SMALLEST, PER_LEVEL, neighbors=REACH, ring=(SIGMA, RHO))
+    return found.select("point_id", q("saliency", 4).alias("saliency"), *(q(C("saliencies")[i], 4).alias(f"saliency_{i}") for i in range(PER_LEVEL)))
+
+
 @query("pointwise_pca_saliency")
 def pointwise_pca_saliency(spark, sf):
     pts, edges = position_edges(spark, sf)
