@@ -209,58 +209,6 @@ def top_fraction(df: DataFrame, score: str, share: float, rounding: str = "ceil"
     return ranked.where(C("_rank") <= size).drop("_neg", "_rank", "_total")
 
 
-def point_association(points: DataFrame, foci: DataFrame, sigma: float = 0.05) -> DataFrame:
-    """Distinctness of the nearest focus point, faded with a Gaussian of its distance: ``point_id, association``."""
-    nearest = joins.knn(points, foci, 1, include_zero=True)
-    score = foci.select(C("point_id").alias("nid"), "distinctness")
-    return nearest.join(score, "nid").select("point_id", (
-        C("distinctness") * F.exp(-C("dist") * C("dist") / (2 * sigma * sigma))).alias("association"))
-
-
-def low_level_distinctness(edges: DataFrame, histograms: DataFrame, share: float = 0.01) -> DataFrame:
-    """``1 - exp(-mean(chi2 / (1 + dist)))`` over the neighbours whose chi-square distance is at most ``share`` of the
-    neighbourhood's largest; 0 without any.  The surroundings are an edge table instead of the whole cloud."""
-    pairs = _histogram_pairs(edges, histograms)
-    largest = pairs.groupBy("point_id").agg((F.max("_chi") * share).alias("_limit"))
-    close = pairs.join(largest, "point_id").where(C("_chi") <= C("_limit"))
-    means = close.groupBy("point_id").agg((F.sum(C("_m") * C("_chi") / (1 + C("dist"))) / F.sum("_m")).alias("_d"))
-    return histograms.select("point_id").join(means, "point_id", "left").select(
-        "point_id", F.coalesce(1 - F.exp(-C("_d")), F.lit(0.0)).alias("distinctness"))
-
-
-def high_level_distinctness(points: DataFrame, foci: DataFrame, histograms: DataFrame, k: int) -> DataFrame:
-    """``1 - exp(-mean(chi2 * log(1 + dist)))`` over the ``k`` nearest focus points."""
-    edges = joins.knn(points, foci, k, include_zero=True)
-    pairs = _histogram_pairs(edges, histograms)
-    means = pairs.groupBy("point_id").agg(F.avg(C("_chi") * F.log1p("dist")).alias("_d"))
-    return means.select("point_id", (1 - F.exp(-C("_d"))).alias("distinctness"))
-
-
-def _histogram_pairs(edges: DataFrame, histograms: DataFrame) -> DataFrame:
-    other = histograms.select(C("point_id").alias("nid"), C("h").alias("_h"))
-    own = histograms.select("point_id", C("h").alias("_own"))
-    pairs = edges.select("point_id", "nid", "dist", multiplicity(edges).alias("_m")).join(other, "nid").join(own, "point_id")
-    return pairs.withColumn("_chi", chi2_distance(C("_own"), C("_h")))
-
-
-def hierarchical_saliency(points: DataFrame, edges: DataFrame, histograms: DataFrame, low_share: float = 0.01,
-                          focus_share: float = 0.2, high_share: float = 0.1, k: int = 16, sigma: float = 0.05) -> DataFrame:
-    """Half low-level distinctness and association to the focus points, half high-level distinctness.
-
-    Comparing every histogram with every other is quadratic; here the low level looks at the neighbourhood given by
-    ``edges`` and the high level at the ``k`` nearest points of the most distinct ``high_share``.
-    """
-    histograms = cut_lineage(histograms)
-    low = cut_lineage(low_level_distinctness(edges, histograms, low_share))
-    scored = points.join(low, "point_id")
-    foci = cut_lineage(top_fraction(scored, "distinctness", focus_share, "floor"))
-    distinct = cut_lineage(top_fraction(scored, "distinctness", high_share, "floor"))
-    near = point_association(points, foci, sigma)
-    high = high_level_distinctness(points, distinct, histograms, k).withColumnRenamed("distinctness", "_high")
-    return low.join(near, "point_id").join(high, "point_id").select("point_id", (
-        0.5 * (C("distinctness") + C("association")) + 0.5 * C("_high")).alias("saliency"))
-
-
 # --- cells ------------------------------------------------------------------------------------------------------------
 
 def cell_neighbors_8sector(cells: DataFrame, buffer: int, min_per_sector: int = 1) -> tuple[DataFrame, DataFrame]:

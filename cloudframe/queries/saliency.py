@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from cloudframe.functions import quantiles, weights
-from cloudframe.operators import joins, resolution, saliency, smoothing, tensors
+from cloudframe.operators import distinctness, joins, resolution, saliency, smoothing, tensors
 from cloudframe.plans import cell_curvature, point_features
 from cloudframe.queries import _data as d
 from cloudframe.queries.features import EIGEN
@@ -256,7 +256,7 @@ def hierarchical_saliency(spark, sf):
     pts, edges, histograms = _spfh(spark, sf)
     features = saliency.fpfh(edges, histograms)
     places = joins.positions(pts)
-    return joins.per_point(pts, saliency.hierarchical_saliency(places, edges, features))
+    return joins.per_point(pts, distinctness.hierarchical_saliency(places, features))
 
 
 # --- cells ------------------------------------------------------------------------------------------------------------
