@@ -20,8 +20,8 @@ from cloudframe.operators import joins
 from cloudframe.operators.tensors import multiplicity
 
 C = F.col
-#: Pivots, candidates among which they are chosen (both only change how much is compared), and rows of a block.
-PIVOTS, CANDIDATES, BLOCK = 32, 1024, 4096
+#: Pivots, candidates among which they are chosen (both only change how much is compared), rows of a block and of a tile.
+PIVOTS, CANDIDATES, BLOCK, _TILE = 64, 2048, 4096, (64, 256)
 #: Keeps empty bins from dividing by zero.
 TINY = 1e-10
 # Bounds are widened by this share for what the rounding and the summand above may take off.
@@ -32,9 +32,19 @@ _ROW = "point_id string, x double, y double, z double, m double, h binary"
 def chi2_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Chi-square distance of each row of ``a`` to each of ``b``."""
     out = np.zeros((len(a), len(b)))
-    for k in range(a.shape[1]):
-        apart = a[:, k, None] - b[None, :, k]
-        out += apart * apart / (a[:, k, None] + b[None, :, k] + TINY)
+    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    # Tiles small enough for the cache of a core; a bin that is empty on both sides adds nothing.
+    for i in range(0, out.shape[0], _TILE[0]):
+        for j in range(0, out.shape[1], _TILE[1]):
+            tile = out[i:i + _TILE[0], j:j + _TILE[1]]
+            apart, sums = np.empty(tile.shape), np.empty(tile.shape)
+            for x, y in zip(a[:, i:i + _TILE[0]], b[:, j:j + _TILE[1]]):
+                if x.any() or y.any():
+                    np.subtract(x[:, None], y[None], out=apart)
+                    np.add(x[:, None], y[None] + TINY, out=sums)
+                    np.multiply(apart, apart, out=apart)
+                    np.divide(apart, sums, out=apart)
+                    np.add(tile, apart, out=tile)
     return out
 
 
@@ -81,7 +91,7 @@ def _parts(n: int) -> int:
     return max(1, -(-n // BLOCK))
 
 
-def _met(asks: DataFrame, targets: DataFrame, parts: list[int], chunks: int, summed: Callable, result: str) -> DataFrame:
+def _met(asks: DataFrame, targets: DataFrame, parts: list[int], chunks: int, summed: Callable, result: str, far: bool = True) -> DataFrame:
     """Rows of ``asks`` (with ``cell, limit``) and of ``targets`` (with ``cell``) meet by cell in blocks; ``summed`` gets both."""
     columns = ["point_id", "x", "y", "z", "m", "h"]
     sizes = F.array(*(F.lit(p) for p in parts))
@@ -106,8 +116,8 @@ def _met(asks: DataFrame, targets: DataFrame, parts: list[int], chunks: int, sum
         out = []
         for k in range(0, len(h), 256):
             chi = chi2_matrix(h[k:k + 256], g)
-            far = np.sqrt(((xyz[k:k + 256, None, :] - there[None]) ** 2).sum(axis=2))
-            out.append(summed(chi, far, m[k:k + 256], n, own[k:k + 256], limit[k:k + 256]))
+            apart = np.sqrt(sum((xyz[k:k + 256, a, None] - there[None, :, a]) ** 2 for a in range(3))) if far else None
+            out.append(summed(chi, apart, m[k:k + 256], n, own[k:k + 256], limit[k:k + 256]))
         return pa.Table.from_arrays([ids, *(pa.array(np.concatenate(c)) for c in zip(*out))], names=shape.names)
 
     kind = asks.schema["point_id"].dataType
@@ -132,21 +142,41 @@ def low_level_distinctness(points: DataFrame, histograms: DataFrame, share: floa
     if not sizes:
         return points.sparkSession.createDataFrame([], f"point_id {kind}, distinctness double, farthest double, close bigint, compared bigint")
     parts, chunks = [_parts(n) for n in sizes], _parts(sum(sizes))
-    radii = F.array(*(F.lit(float(r)) for r in radius))
-    cells = F.sequence(F.lit(0), F.lit(len(sizes) - 1))
-    there = lambda c: F.element_at("reach", c + 1)
-    wide = lambda c: F.element_at(radii, c + 1)
+    wide = np.array(radius)
 
     def visiting(rows, test):
-        return rows.withColumn("_cells", F.filter(cells, test)).withColumn("cell", F.explode("_cells"))
-
-    # A cell can hold the farthest histogram if its farthest side is beyond the farthest pivot.
-    asks = visiting(placed.withColumn("limit", F.array_max("reach")), lambda c: (there(c) + wide(c)) * (1 + _SLACK) + _SLACK >= C("limit"))
-    largest = _met(asks, placed, parts, chunks, lambda chi, far, m, n, own, limit: (chi.max(axis=1), np.full(len(chi), float(chi.shape[1]))),
-                   "farthest double, compared double")
-    largest = cut_lineage(largest.groupBy("point_id").agg(F.max("farthest").alias("farthest"), F.sum("compared").alias("_first")))
+        """Rows (with ``limit``) once for each ``cell`` that ``test`` finds in the distances to all pivots."""
+        columns = ["point_id", "x", "y", "z", "m", "h", "limit"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                reach = batch.column(7).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                row, cell = np.nonzero(test(reach, batch.column(6).to_numpy(zero_copy_only=False)[:, None]))
+                again = batch.select(columns).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*again.columns, pa.array(cell.astype(np.int32))], [*columns, "cell"])
+
+        return rows.select(*columns, "reach").mapInArrow(run, f"{_ROW.replace('string', kind, 1)}, limit double, cell int")
+
+    def farthest(asks):
+        met = _met(asks, placed, parts, chunks, lambda chi, far, m, n, own, limit: (chi.max(axis=1), np.full(len(chi), float(chi.shape[1]))),
+                   "farthest double, compared double", far=False)
+        return met.groupBy("point_id").agg(F.max("farthest").alias("farthest"), F.sum("compared").alias("_first"))
+
+    # The cell whose far side is farthest first; then those whose far side is beyond what was found there.
+    def first_cell(reach, limit):
+        beyond = reach + wide
+        return beyond >= beyond.max(axis=1, keepdims=True)
+
+    def later_cells(reach, limit):
+        return ~first_cell(reach, limit) & ((reach + wide) * (1 + _SLACK) + _SLACK >= limit)
+
+    first = cut_lineage(farthest(visiting(placed.withColumn("limit", F.lit(0.0)), first_cell)))
+    known = placed.join(first.select("point_id", F.sqrt("farthest").alias("limit")), "point_id")
+    others = farthest(visiting(known, later_cells))
+    largest = first.unionByName(others).groupBy("point_id").agg(F.max("farthest").alias("farthest"), F.sum("_first").alias("_first"))
+    largest = cut_lineage(largest)
     limited = placed.join(largest, "point_id").withColumn("limit", C("farthest") * share)
-    asks = visiting(limited, lambda c: there(c) - wide(c) <= F.sqrt("limit") * (1 + _SLACK) + _SLACK)
+    asks = visiting(limited, lambda reach, limit: reach - wide <= np.sqrt(limit) * (1 + _SLACK) + _SLACK)
 
     def close(chi, far, m, n, own, limit):
         inside = chi <= limit[:, None]

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from cloudframe.functions import quantiles, weights
+from cloudframe.lineage import cut_lineage
 from cloudframe.operators import distinctness, joins, resolution, saliency, smoothing, tensors
 from cloudframe.plans import cell_curvature, point_features
 from cloudframe.queries import _data as d
@@ -253,10 +254,15 @@ def chi2_distance(spark, sf):
 
 @query("hierarchical_saliency")
 def hierarchical_saliency(spark, sf):
-    pts, edges, histograms = _spfh(spark, sf)
-    features = saliency.fpfh(edges, histograms)
-    places = joins.positions(pts)
-    return joins.per_point(pts, distinctness.hierarchical_saliency(places, features))
+    """The definition compares each place with each other, so the places are the occupied voxels of all points, weighed by
+    how many points they hold; every point has the value of its voxel."""
+    labelled, centroids = smoothing.voxel_downsample(d.points(spark, sf), 1.0)
+    places = centroids.select(C("voxel").alias("point_id"), "x", "y", "z", C("n").alias("m"))
+    described = point_features.with_normals(places, 1.5)
+    edges = cut_lineage(point_features.edges_with_normals(described, 1.5))
+    features = saliency.fpfh(edges, cut_lineage(saliency.spfh(edges, points=places)))
+    values = distinctness.hierarchical_saliency(places, features).withColumnRenamed("point_id", "voxel")
+    return labelled.select("point_id", "voxel").join(values, "voxel").select("point_id", "saliency")
 
 
 # --- cells ------------------------------------------------------------------------------------------------------------
