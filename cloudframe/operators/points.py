@@ -304,24 +304,3 @@ def color_normalize(df: DataFrame, channels: tuple[str, ...] = ("r", "g", "b"))
 
 def color_restore(norm: Column) -> Column:
     return F.round(norm * 255).cast("int")
-
-
-def project_images(points: DataFrame, cameras: DataFrame, pixels: DataFrame, height: int, width: int) -> DataFrame:
-    """Colour each point from the last image that sees it.
-
-    ``cameras``: ``img_id, img_seq, m ARRAY(12)`` (3x4 matrix by rows), ``pixels``: ``img_id, row, col, r, g, b``.  A
-    camera sees a point when ``w > 0`` and the pixel lies in the frame.  The camera table holds one row per photograph; it
-    is folded to one array (checked to hold at most 10,000 cameras) and exploded per point.
-    """
-    folded = cameras.agg(F.sort_array(F.collect_list(F.struct("img_seq", "img_id", "m"))).alias("c"))
-    checked = folded.select(F.when(F.size("c") <= 10_000, C("c")).otherwise(F.raise_error(F.lit("more than 10000 cameras"))))
-    seen = points.select("point_id", "x", "y", "z", F.explode(checked.scalar()).alias("_cam"))
-    m = C("_cam.m")
-    row = lambda i: m[4 * i] * C("x") + m[4 * i + 1] * C("y") + m[4 * i + 2] * C("z") + m[4 * i + 3]
-    seen = seen.withColumns({"_u": row(0), "_v": row(1), "_w": row(2)}).where(C("_w") > 0)
-    seen = seen.select("point_id", C("_cam.img_id").alias("img_id"), C("_cam.img_seq").alias("img_seq"),
-                       F.floor(C("_v") / C("_w")).cast("int").alias("row"), F.floor(C("_u") / C("_w")).cast("int").alias("col"))
-    seen = seen.where(C("row").between(0, height - 1) & C("col").between(0, width - 1))
-    coloured = seen.join(pixels, ["img_id", "row", "col"])
-    last = coloured.groupBy("point_id").agg(F.max(F.struct("img_seq", "r", "g", "b")).alias("_c"))
-    return last.select("point_id", C("_c.r").alias("r"), C("_c.g").alias("g"), C("_c.b").alias("b"))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from cloudframe.functions import geometry, linalg
-from cloudframe.operators import joins, points, polygons, raster, smoothing, tensors
+from cloudframe.operators import joins, points, polygons, projection, raster, smoothing, tensors
 from cloudframe.ordering import global_rank
 from cloudframe.queries import _data as d
 from cloudframe.registry import Q, q, query
@@ -440,4 +440,4 @@ def project_images(spark, sf):
     part = d.table(spark, sf, "part").groupBy((C("p_partkey").cast("int") % 300).alias("row"), (C("p_size") * 7).alias("col")).agg(
         F.max("p_partkey").alias("r"), F.max("p_size").alias("g"))
     pixels = part.withColumn("img_id", F.explode(F.sequence(lit(0), lit(4)))).withColumn("b", lit(0))
-    return points.project_images(d.points(spark, sf), cameras, pixels, 10_000, 10_000).select("point_id", "r", "g")
+    return projection.project_images(d.points(spark, sf), cameras, pixels, 10_000, 10_000).select("point_id", "r", "g")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cloudframe.functions import linalg
 from cloudframe.lineage import cut_lineage
-from cloudframe.operators import graph, joins, segments, tensors
+from cloudframe.operators import graph, joins, linkage, segments, tensors
 from cloudframe.plans import segmentation
 from cloudframe.queries import _data as d
 from cloudframe.registry import Q, q, query
@@ -161,7 +161,6 @@ def scanline_segmentation(spark, sf):
 
 @query("curve_clusters")
 def curve_clusters(spark, sf):
-    pts = d.small_points(spark, sf)
-    edges = joins.knn(pts, pts, 6)
-    both = edges.select("point_id", "nid").union(edges.select(C("nid"), C("point_id"))).distinct()
-    return graph.curve_clusters(pts, both, 9)
+    """Single linkage of all embeddings over all of their entries."""
+    vectors = d.table(spark, sf, "embeddings").select(C("vec_id").alias("point_id"), C("embedding").alias("v"))
+    return linkage.curve_clusters(vectors)

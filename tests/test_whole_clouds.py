@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from cloudframe import skew
-from cloudframe.operators import features, fitting, graph, joins, points, polygons, saliency, segments, tensors
+from cloudframe.operators import features, fitting, graph, joins, linkage, points, polygons, saliency, segments, tensors
 from cloudframe.sources import readers
 
 SMALL = "/root/testdata/sf0.001"
@@ -113,8 +113,8 @@ def test_groups_without_extent_do_not_stop_the_others(spark):
     line = spark.createDataFrame([(i, float(i), 0.0, 0.0) for i in range(5)], "point_id int, x double, y double, z double")
     assert fitting.align_principal_axes(line).agg(F.max("z") - F.min("z")).first()[0] == pytest.approx(4)
     dots = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 1.0, 0.0, 0.0), (2, 2.0, 0.1, 0.0), (3, 0.0, 1.0, 0.0)], "point_id int, x double, y double, z double")
-    every = dots.select("point_id").crossJoin(dots.select(F.col("point_id").alias("nid")))
-    assert graph.curve_clusters(dots, every, 2).select("component").distinct().count() == 2
+    vectors = dots.select("point_id", F.array("x", "y", "z").alias("v"))  # one of them has no direction
+    assert linkage.curve_clusters(vectors, 2).select("component").distinct().count() == 2
 
 
 def test_star_of_many_links(spark):
