@@ -101,7 +101,9 @@ def _iterate_groups(points: DataFrame, keys: list[str], start: dict[str, Column]
     """Damped Gauss-Newton for many groups at once: one aggregation of normal equations per iteration.
 
     ``terms(row, parameters)`` gives the misclosure, its derivatives and the weight as columns; parameters are a small
-    table (one row per group) joined to the points each time.
+    table (one row per group) joined to the points each time.  Groups that stand still leave, and only the points of the
+    others are read on.  Each group has its number of ``iterations`` and whether it ``converged``: groups without an answer
+    (NULL parameters) and those still open after ``max_iterations`` did not.
     """
     names = [f"_p{i}" for i in range(count)]
     params = cut_lineage(points.groupBy(*keys).agg(*(e.alias(n) for n, e in zip(names, start.values()))))
@@ -120,18 +122,26 @@ def _iterate_groups(points: DataFrame, keys: list[str], start: dict[str, Column]
             n[np.diag_indices(count)] *= 1 + 1e-9
             out.append(np.linalg.lstsq(n, -np.asarray(e[len(upper[0]):]), rcond=None)[0])
         return pd.Series(out)
-    for _ in range(max_iterations):
+    closed, largest = [], F.greatest(*(F.abs(C("_d")[i]) for i in range(count)))
+    for turn in range(1, max_iterations + 1):
         w, design, weight = terms([C(n) for n in names])
         j = points.join(params, keys).withColumns({"_w": w, "_q": weight, **{f"_a{i}": d for i, d in enumerate(design)}})
         sums = j.groupBy(*keys).agg(F.array(
             *(F.sum(C("_q") * C(f"_a{i}") * C(f"_a{k}")) for i in range(count) for k in range(i, count)),
             *(F.sum(C("_q") * C(f"_a{i}") * C("_w")) for i in range(count))).alias("_s"))
         step = cut_lineage(params.join(sums.select(*keys, solve("_s").alias("_d")), keys))
-        params = step.select(*keys, *((C(n) + C("_d")[i]).alias(n) for i, n in enumerate(names)))
-        largest = step.agg(F.max(F.greatest(*(F.abs(C("_d")[i]) for i in range(count))))).first()[0]
-        if largest is None or largest < eps:
+        moved = step.select(*keys, *((C(n) + C("_d")[i]).alias(n) for i, n in enumerate(names)), largest.alias("_largest"))
+        stands = F.coalesce(C("_largest") < eps, F.lit(True)) | F.isnan("_largest")
+        done = moved.where(stands).select(*keys, *names, (C("_largest") < eps).alias("converged"), F.lit(turn).alias("iterations"))
+        closed.append(done.withColumn("converged", F.coalesce("converged", F.lit(False))))
+        params = moved.where(~stands).select(*keys, *names)
+        if params.isEmpty():
             break
-    return params.select(*keys, *(C(n).alias(label) for n, label in zip(names, start)))
+    closed.append(params.select(*keys, *names, F.lit(False).alias("converged"), F.lit(max_iterations).alias("iterations")))
+    params = closed[0]
+    for part in closed[1:]:
+        params = params.unionByName(part)
+    return params.select(*keys, *(C(n).alias(label) for n, label in zip(names, start)), "converged", "iterations")
 
 
 def fit_circle(points: DataFrame, keys: list[str], eps: float = 1e-5, max_iterations: int = 50) -> DataFrame:

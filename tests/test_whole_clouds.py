@@ -156,3 +156,13 @@ def test_external_curvature_uses_every_corner_of_the_hull(spark):
     got = {r.point_id: r.curvature for r in features.curvature_external(edges).collect()}
     assert got["cone"] == pytest.approx(0.25 * sum(bend(ring[i - 1], ring[i], ring[(i + 1) % 40]) for i in range(40)))
     assert got["corner"] == pytest.approx(0.25 * bend(*corner[:3])) and got["line"] is None
+
+
+def test_groups_that_do_not_converge_are_marked(spark):
+    rows = [("exact", 3 + 2 * math.cos(t), 1 + 2 * math.sin(t)) for t in range(40)]
+    rows += [("flat arc", 1000 * math.cos(t * 1e-5) + 0.01 * (t % 3), 1000 * math.sin(t * 1e-5)) for t in range(40)] + [("one place", 1.0, 1.0)] * 3
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    found = {r.g: r for r in fitting.fit_circle(df, ["g"], max_iterations=3).collect()}
+    assert set(found) == {"exact", "flat arc", "one place"}
+    assert found["exact"].converged and found["exact"].iterations <= 3 and abs(found["exact"].r - 2) < 1e-6
+    assert not found["flat arc"].converged and found["flat arc"].iterations == 3
