@@ -106,7 +106,10 @@ def windows(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "tur
                                 "n_repeated": [sum(t["_kind"] < 2 for t in turns) for turns in frame["turns"]]})
 
     kind = conversations.schema[conv_id].dataType.simpleString()
-    return grouped.mapInPandas(run, f"conv_id {kind}, window bigint, formatted string, loss_starts array<bigint>, loss_ends array<bigint>, n_repeated bigint")
+    # Ids travel as text: pandas would turn whole numbers beside a NULL into doubles.
+    made = grouped.withColumn("conv_id", C("conv_id").cast("string")).mapInPandas(
+        run, "conv_id string, window bigint, formatted string, loss_starts array<bigint>, loss_ends array<bigint>, n_repeated bigint")
+    return made.withColumn("conv_id", C("conv_id").cast(kind))
 
 
 def digest(made: DataFrame) -> DataFrame:
@@ -120,12 +123,11 @@ def digest(made: DataFrame) -> DataFrame:
 
         def row() -> pd.DataFrame:
             n, turns, chars, loss, formatted = state
-            return pd.DataFrame({"conv_id": pd.Series([current[0]], dtype="Int64" if whole else None), "n_turns": n, "turns_sha256": turns.hexdigest(),
+            return pd.DataFrame({"conv_id": pd.Series([current[0]], dtype=object), "n_turns": n, "turns_sha256": turns.hexdigest(),
                                  "loss_chars": chars, "loss_sha256": loss.hexdigest(), "formatted_chars": formatted})
 
         for frame in frames:
             for id_, text, starts, ends, skip in zip(frame["conv_id"], frame["formatted"], frame["loss_starts"], frame["loss_ends"], frame["n_repeated"]):
-                id_ = None if pd.isna(id_) else int(id_) if whole else id_
                 if current != (id_,):
                     if current is not None:
                         yield row()
@@ -142,6 +144,6 @@ def digest(made: DataFrame) -> DataFrame:
             yield row()
 
     kind = made.schema["conv_id"].dataType.simpleString()
-    whole = kind in ("bigint", "int")
-    return (made.repartition("conv_id").sortWithinPartitions("conv_id", "window")
-            .mapInPandas(run, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"))
+    found = (made.repartition("conv_id").sortWithinPartitions("conv_id", "window").withColumn("conv_id", C("conv_id").cast("string"))
+             .mapInPandas(run, "conv_id string, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"))
+    return found.withColumn("conv_id", C("conv_id").cast(kind))

@@ -378,3 +378,12 @@ def test_pipeline_of_odd_rows(spark, odd, empty):
             docs, _ = common.written(stage(spark, docs, SMALL), "test")
             assert docs.columns == start.columns
         assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() == docs.count()
+
+
+def test_chat_keeps_large_ids_beside_a_null_id(spark):
+    big = 2 ** 53 + 1
+    rows = [(big, 0, "user", "a"), (big, 1, "assistant", "b"), (None, 0, "user", "c"), (-7, 0, "assistant", None)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)
+    made = chat.windows(frame)
+    assert {r.conv_id for r in made.collect()} == {big, None, -7}
+    assert {r.conv_id: r.n_turns for r in chat.digest(made).collect()} == {big: 2, None: 1, -7: 1}
