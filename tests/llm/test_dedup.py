@@ -197,6 +197,19 @@ def test_first_by_hash_of_a_large_and_a_small_key(spark):
     assert sorted(r.id for r in got if r.k == "few") == list(range(7))
 
 
+def test_counts_bound_the_overlap():
+    draw = np.random.default_rng(5)
+    for _ in range(300):
+        pool = draw.integers(-2 ** 63, 2 ** 63 - 1, 600, dtype=np.int64)
+        if draw.random() < 0.2:
+            pool = np.arange(600) - 300  # all in two ranges
+        a, b = (np.unique(draw.choice(pool, draw.integers(1, 600))) for _ in range(2))
+        both = len(np.intersect1d(a, b))
+        counts = jaccard.counts_of(a), jaccard.counts_of(b)
+        assert both <= jaccard.most_overlap(*counts) == jaccard.most_overlap(*counts[::-1]) <= min(len(a), len(b))
+        assert jaccard.most_overlap(counts[0], counts[0]) == len(a)
+
+
 def brute_near(texts):
     """The smallest number in each group that pairs with a Jaccard similarity of 0.8 connect."""
     sets = []
