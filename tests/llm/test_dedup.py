@@ -210,6 +210,17 @@ def test_counts_bound_the_overlap():
         assert jaccard.most_overlap(counts[0], counts[0]) == len(a)
 
 
+def test_values_reach_every_pair_of_a_hot_set(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "TOGETHER", 3)
+    pairs = [(1, b) for b in range(2, 40)] + [(2, 5), (38, 39)]
+    pairs = spark.createDataFrame(pairs, "a bigint, b bigint")
+    whole = spark.createDataFrame([(i, bytes([i])) for i in range(50)], "_set bigint, _all binary")
+    got = jaccard._with_sets(pairs, pairs, whole, "_all", "a", "b")
+    got = jaccard._with_sets(got, pairs, whole, "_all", "b", "a").collect()
+    assert sorted((r.a, r.b) for r in got) == sorted(map(tuple, pairs.collect()))
+    assert all((bytes(r._a), bytes(r._b)) == (bytes([r.a]), bytes([r.b])) for r in got)
+
+
 def brute_near(texts):
     """The smallest number in each group that pairs with a Jaccard similarity of 0.8 connect."""
     sets = []
