@@ -1,25 +1,27 @@
 """Language identification by a linear-chain conditional random field over words.
 
-Words are runs of letters, lower-cased.  Affixes, letter n-grams and the whole word (lexicon) are hashed into one table of
+Words are runs of letters, lower-cased; a run of more than 24 letters (scripts without blanks) is cut into pieces of 24,
+which are words each.  Affixes, letter n-grams and the whole word (lexicon) are hashed into one table of
 weights; transitions between the labels of neighbouring words are learned too.  Forward-backward gives each word of a
 text, code-switched or not, its label probabilities; a document has the language with the largest mean probability.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cloudframe.lineage import cut_lineage
 from cloudframe.llm import common
 from cloudframe.llm.common import C
+from cloudframe.skew import MOST_BROADCAST
 
-#: Rows of the weight table; letters of a word that features look at (the first and last half of longer words).
+#: Rows of the weight table; most letters of a word.
 TABLE, WIDTH = 1 << 16, 24
 #: Most training documents of a language; parts trained side by side, whose weights are averaged; passes over the data.
 SAMPLE_PER_LANGUAGE, PARTS, PASSES = 400, 4, 2
@@ -28,14 +30,12 @@ SEQUENCE, PIECE = 96, 32
 #: Words that are labelled at a time.
 WORDS_AT_ONCE = 1 << 20
 UNKNOWN = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = regex.compile(rf"\p{{L}}{{1,{WIDTH}}}")
 
 
 def features(words: list[str]) -> np.ndarray:
     """Rows of the weight table for each word; ``TABLE`` is the empty row."""
-    half = WIDTH // 2
-    short = np.array([w if len(w) <= WIDTH else w[:half] + w[-half:] for w in words], f"U{WIDTH}")
-    letters = short.view(np.uint32).reshape(len(words), WIDTH)
+    letters = np.array(words, f"U{WIDTH}").view(np.uint32).reshape(len(words), WIDTH)
     length = (letters != 0).sum(axis=1)
     width = max(3, int(length.max(initial=0)))
     marked = np.zeros((len(words), width + 2), np.uint32)
@@ -205,17 +205,19 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> Model | None:
     """Learn from ``text`` and non-null ``lang`` of the rows that are not held out; None if there are none.
 
-    At most ``per_language`` documents of each language, the first by hash, are learned from.
+    At most ``per_language`` documents of each language, the first by hash, are learned from; only their texts are
+    shuffled.  The model has 256 kB a language and is meant for labels that are languages, not for free text.
     """
     usable = docs.where(C(lang).isNotNull() & C(text).isNotNull() & ~held_out(C(doc_id)))
     rows = usable.select(C(lang).cast("string").alias("_lang"), C(doc_id).alias("_id"), common.text_key(text).alias("_hash"), C(text).alias("_text"))
     chosen = cut_lineage(common.first_by_hash(rows.drop("_text").distinct(), "_lang", ["_id", "_hash"], per_language)
                          .withColumnsRenamed({"_id": "_id2", "_hash": "_hash2", "_lang": "_lang2"}))
-    meet = C("_hash").eqNullSafe(C("_hash2")) & C("_id").eqNullSafe(C("_id2")) & (C("_lang") == C("_lang2"))
-    sample = rows.join(chosen, meet).select("_lang", "_text", "_no", F.pmod(C("_no"), F.lit(PARTS)).alias("_part")).dropDuplicates(["_lang", "_no"])
     labels = sorted((r[0] for r in chosen.select("_lang2").distinct().collect()), key=lambda x: x.encode())
     if not labels:
         return None
+    meet = C("_hash").eqNullSafe(C("_hash2")) & C("_id").eqNullSafe(C("_id2")) & (C("_lang") == C("_lang2"))
+    named = F.broadcast(chosen) if len(labels) * per_language <= MOST_BROADCAST else chosen
+    sample = rows.join(named, meet).select("_lang", "_text", "_no", F.pmod(C("_no"), F.lit(PARTS)).alias("_part")).dropDuplicates(["_lang", "_no"])
     number = {label: i for i, label in enumerate(labels)}
 
     def part(frame: pd.DataFrame) -> pd.DataFrame:

@@ -214,11 +214,20 @@ def test_language_query_on_held_out_documents(spark, small):
     assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.95 * len(held)
 
 
+def test_language_reads_letters_only_and_whole_words(spark, small):
+    model = language.fit(small)
+    texts = ["\u00b2\u00bd \u2167 \u2460 12_3", "\u00b2 der Hund und die Katze"]
+    found = language.identify(spark.createDataFrame([(t,) for t in texts], "text string"), model).collect()
+    assert [(r.lang_pred, r.score > 0) for r in found] == [("und", False), ("de", True)]
+    lengths, words, _ = model.tag(["x" * 30 + "y" * 30 + " ab"])
+    assert words == ["x" * 24, "x" * 6 + "y" * 18, "y" * 12, "ab"] and list(lengths) == [4]
+
+
 def test_language_of_odd_rows(odd, empty):
     model = language.fit(odd)
     found = language.identify(odd, model).collect()
     assert len(found) == odd.count()
-    assert {r.lang_pred for r in found if not re.search(r"[^\W\d_]", r.text or "")} == {"und"}
+    assert {r.lang_pred for r in found if not any(c.isalpha() for c in r.text or "")} == {"und"}
     assert all(r.lang_pred in (*model.labels, "und") for r in found)
     assert language.fit(empty) is None and language.identify(empty, None).count() == 0
     assert {r.lang_pred for r in language.identify(odd, None).collect()} == {"und"}
