@@ -53,6 +53,11 @@ RULES = [
     (["BSD2ref"], "BSD-2-Clause"), (["BSD3ref"], "BSD-3-Clause"), (["Apache2ref"], "Apache-2.0"), (["CCBYref"], "CC-BY-4.0"),
     (["CCBYSAref"], "CC-BY-SA-4.0"), (["CCBYNCref"], "CC-BY-NC-4.0"), (["CCBYNDref"], "CC-BY-ND-4.0"), (["CC0ref"], "CC0-1.0"),
 ]
+#: What known sentences begin with, word by word; a run of lines can only be a known sentence if its first line is one of
+#: these.  No known sentence has more words, and so no more lines with words, than ``MOST_LINES``.
+PREFIXES = sorted({" ".join(s.split()[:n + 1]) for all_ in SENTENCES.values() for s in all_ for n in range(len(s.split()))})
+KNOWN = sorted(s for all_ in SENTENCES.values() for s in all_)
+MOST_LINES = max(len(s.split()) for s in KNOWN)
 #: Each known sentence has one of these, so a text without them has no known sentence.
 HINTS = ["licen", "software", "permission", "copyright", "redistribut"]
 
@@ -63,30 +68,54 @@ def _apply(sequence: Column) -> Column:
     return sequence
 
 
+def _longest_run(first: Column) -> Column:
+    """``line, end, text`` of the longest run of ``_lines`` from the line ``first`` on that is a known sentence; end 0: none.
+
+    A run grows as long as a known sentence begins like it.
+    """
+    def grown(run: Column, line: Column) -> Column:
+        text = F.ltrim(F.concat(run["begun"], F.lit(" "), line))
+        whole = text.isin(KNOWN)
+        longer = F.struct(text.alias("begun"), (run["n"] + 1).alias("n"), F.when(whole, first + run["n"]).otherwise(run["end"]).alias("end"),
+                          F.when(whole, text).otherwise(run["text"]).alias("text"))
+        over = F.struct(F.lit(None).cast("string").alias("begun"), run["n"].alias("n"), run["end"].alias("end"), run["text"].alias("text"))
+        return F.when(run["begun"].isNull(), run).when(text.isin(PREFIXES), longer).otherwise(over)
+
+    none = F.struct(F.lit("").alias("begun"), F.lit(0).alias("n"), F.lit(0).alias("end"), F.lit("").alias("text"))
+    run = F.aggregate(F.slice("_lines", first, F.lit(MOST_LINES)), none, grown)
+    return F.struct(first.alias("line"), run["end"].alias("end"), run["text"].alias("text"))
+
+
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, licenses`` (in order, comma-joined, each mention), ``sentences`` (identifiers
     in order) and ``n_unmatched`` (known sentences that no rule took).
 
-    Sentences end at a blank line, or at ``. ! ? ; :`` before blanks; the lines of a sentence that is not known itself are
-    looked up one by one.  NULL and empty texts have none; repeated rows are
-    rows of their own.
+    Sentences end at a line without letters and digits (blank, or only marks of a comment), or at ``. ! ? ; :`` after
+    a word and before blanks.  A sentence is known as a whole or by any run of its lines, so that a title or a line above it does no harm;
+    of runs that lie within one another the longest counts.  NULL and empty texts and texts of one very long sentence
+    have what is in them (empty lists at the least); an empty table gives no rows; repeated rows are rows of their own.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), C(doc_id).alias("_id"), C(text).alias("_text"))
     low = F.lower("_text")
     hinted = F.contains(low, F.lit(HINTS[0]))
     for hint in HINTS[1:]:
         hinted = hinted | F.contains(low, F.lit(hint))
-    sentences = F.split(F.regexp_replace(F.regexp_replace("_text", r"([.!?;:])[ \t\r\n]+", "$1\x01"), r"\n[ \t\r]*\n", "\x01"), "\x01")
-    rows = rows.select("_row", "_id", F.posexplode_outer(F.when(hinted, sentences)).alias("_at", "_sentence"))
-    lines = F.when(F.contains("_sentence", F.lit("\n")), F.concat(F.array("_sentence"), F.split("_sentence", "\n"))).otherwise(F.array("_sentence"))
-    rows = rows.select("_row", "_id", "_at", F.posexplode(lines).alias("_line", "_part"))
-    normal = F.trim(F.regexp_replace(F.lower("_part"), "[^a-z0-9]+", " "))
+    ended = F.regexp_replace(F.regexp_replace("_text", r"([^ \t\r\n.!?;:][.!?;:]+)[ \t\r\n]+", "$1\x01"), r"\n[^\p{L}\p{N}]*\n", "\x01")
+    rows = rows.select("_row", "_id", F.posexplode_outer(F.when(hinted, F.split(ended, "\x01"))).alias("_at", "_sentence"))
+    normal = F.transform(F.split("_sentence", "\n"), lambda line: F.trim(F.regexp_replace(F.lower(line), "[^a-z0-9]+", " ")))
+    rows = rows.select("_row", "_id", "_at", F.filter(normal, lambda line: line != "").alias("_lines"))
+    found = F.transform(F.sequence(F.lit(1), F.size("_lines")), _longest_run)
+    found = F.filter(F.when(F.size("_lines") > 0, found), lambda run: run["end"] > 0)
+    rows = rows.select("_row", "_id", "_at", F.explode_outer(found).alias("_run"))
     known = docs.sparkSession.createDataFrame([(s, i) for i, all_ in SENTENCES.items() for s in all_], "_known string, _name string")
-    rows = rows.withColumn("_normal", normal).join(F.broadcast(known), C("_normal") == C("_known"), "left")  # a fixed table
-    whole = F.min(F.when(C("_name").isNotNull(), C("_line"))).over(Window.partitionBy("_row", "_at")) == 0
-    rows = rows.withColumn("_name", F.when((C("_line") == 0) | ~whole, C("_name")))
-    ordered = F.sort_array(F.collect_list(F.when(C("_name").isNotNull(), F.struct("_at", "_line", "_name"))))
-    found = rows.groupBy("_row", "_id").agg(F.transform(ordered, lambda x: x["_name"]).alias("_names"))
+    rows = rows.join(F.broadcast(known), C("_run.text") == C("_known"), "left")  # a fixed table
+    rows = rows.select("_row", "_id", "_at", C("_run.line").alias("_line"), C("_run.end").alias("_end"), "_name")
+    rows = rows.groupBy("_row", "_id").agg(F.sort_array(F.collect_list(F.when(C("_name").isNotNull(), F.struct("_at", "_line", (-C("_end")).alias("_end"), "_name")))).alias("_runs"))
+    none = F.struct(F.lit(-1).alias("at"), F.lit(0).alias("end"), F.array().cast("array<string>").alias("names"))
+    longest = F.aggregate("_runs", none, lambda kept, run: F.when(
+        (run["_at"] == kept["at"]) & (-run["_end"] <= kept["end"]), kept).otherwise(
+        F.struct(run["_at"].alias("at"), (-run["_end"]).alias("end"), F.concat(kept["names"], F.array(run["_name"])).alias("names"))))
+    found = rows.select("_row", "_id", longest["names"].alias("_names"))
     taken = found.withColumn("_taken", _apply(F.array_join(F.transform("_names", lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "")))
     return taken.select(C("_id").alias("doc_id"), F.array_join(F.regexp_extract_all("_taken", F.lit(r"\[([^\]]+)\]"), F.lit(1)), ",").alias("licenses"),
                         F.array_join("_names", ",").alias("sentences"),
@@ -94,7 +123,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
 
 def oracle() -> str:
-    """The same in DuckDB SQL."""
+    """The same in DuckDB SQL, which looks up every run of lines of every sentence."""
     known = ", ".join(f"('{s}', '{i}')" for i, all_ in SENTENCES.items() for s in all_)
     taken = "coalesce(string_agg('<' || name || '>', '' ORDER BY pos, line), '')"
     for identifiers, licence in RULES:
@@ -102,12 +131,14 @@ def oracle() -> str:
     return rf"""
     WITH known(known, name) AS (VALUES {known}),
     d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
-    s AS (SELECT r, unnest(list_zip(range(len(l)), l)) AS u FROM (SELECT r, string_split(regexp_replace(regexp_replace(
-          coalesce(text, ''), '([.!?;:])[ \t\r\n]+', '\1' || chr(1), 'g'), '\n[ \t\r]*\n', chr(1), 'g'), chr(1)) AS l FROM d)),
-    p AS (SELECT r, u[1] AS pos, CASE WHEN contains(u[2], chr(10)) THEN list_concat([u[2]], string_split(u[2], chr(10))) ELSE [u[2]] END AS l FROM s),
-    q AS (SELECT r, pos, unnest(list_zip(range(len(l)), l)) AS v FROM p),
-    f AS (SELECT r, pos, v[1] AS line, name FROM q JOIN known ON trim(regexp_replace(lower(v[2]), '[^a-z0-9]+', ' ', 'g')) = known.known),
-    m AS (SELECT * FROM (SELECT *, min(line) OVER (PARTITION BY r, pos) AS least FROM f) WHERE line = 0 OR least > 0),
+    b AS (SELECT r, unnest(list_zip(range(len(l)), l)) AS u FROM (SELECT r, regexp_split_to_array(
+          regexp_replace(text, '([^ \t\r\n.!?;:][.!?;:]+)[ \t\r\n]+', '\1' || chr(10) || chr(10), 'g'), '\n[^\p{{L}}\p{{N}}]*\n') AS l FROM d)),
+    n AS (SELECT r, u[1] AS pos, list_filter(list_transform(string_split(u[2], chr(10)), lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') AS l FROM b),
+    i AS (SELECT r, pos, l, unnest(range(len(l))) AS line FROM n),
+    e AS (SELECT r, pos, l, line, unnest(range(line + 1, least(len(l), line + {MOST_LINES}) + 1)) AS e FROM i),
+    f AS (SELECT r, pos, line, e, name FROM e JOIN known ON array_to_string(l[line + 1:e], ' ') = known.known),
+    m AS (SELECT * FROM (SELECT *, max(e) OVER (PARTITION BY r, pos ORDER BY line, e DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM f)
+          WHERE upto IS NULL OR e > upto),
     t AS (SELECT r, {taken} AS taken, string_agg(name, ',' ORDER BY pos, line) AS sentences FROM m GROUP BY r)
     SELECT doc_id, coalesce(array_to_string(regexp_extract_all(taken, '\[([^\]]+)\]', 1), ','), '') AS licenses,
            coalesce(sentences, '') AS sentences, coalesce(len(regexp_extract_all(taken, '<[^>]+>')), 0)::BIGINT AS n_unmatched

@@ -345,6 +345,26 @@ def test_licence_rules(spark):
     assert licenses.scan(df.where("false")).count() == 0
 
 
+def test_commented_licences_in_lines(spark):
+    import textwrap
+    s = licenses.SENTENCES
+
+    def comment(mark, *sentences):
+        lines = ["Copyright (c) 2020 Somebody", "", *(line for x in sentences for line in [*textwrap.wrap(x, 60), ""])]
+        return "\n".join(f"{mark} {line}".rstrip() for line in lines)
+
+    mit = [s["MITgrant"][0] + ":", s["MITnotice"][0] + ".", s["MITwarranty"][0] + "."]
+    bsd = [s["BSDgrant"][0] + ":", s["BSDsource"][0] + ".", s["BSDbinary"][0] + "."]
+    isc = [s["ISCgrant"][0] + "."]
+    texts = [comment("#", *mit), "/*\n" + comment(" *", *bsd) + "\n */", comment("//", *isc), comment(";;", *mit, "Some more words", *isc),
+             "A title without an end\n" + "\n".join(textwrap.wrap(isc[0], 40)), "This project is\nlicensed under the MIT license\nand other words",
+             "licensed\n" * 200_000, "words of a long line under the license " * 100_000 + "\n\nReleased under the MIT license."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in licenses.scan(df).collect()}
+    assert [rows[k].licenses for k in range(len(texts))] == ["MIT", "BSD-2-Clause", "ISC", "MIT,ISC", "ISC", "MIT", "", "MIT"]
+    assert rows[5].sentences == "MITref" and all(r.n_unmatched == 0 for r in rows.values())
+
+
 def test_every_known_sentence_is_normal_and_hinted():
     for sentence in [x for all_ in licenses.SENTENCES.values() for x in all_]:
         assert re.fullmatch("[a-z0-9]+( [a-z0-9]+)*", sentence) and ("licen" in sentence or any(h in sentence for h in licenses.HINTS) or sentence.startswith("this work is dedicated"))
