@@ -1,25 +1,22 @@
 """Scan, raster and matrix files as tables.  Every reader takes a file, a folder or a glob.
 
 Text formats are read line by line from splittable files; where a format counts lines, lines are numbered split by split
-(the running totals of the splits are one small table).  Binary formats are parsed one file per task in bounded chunks.
+(the running totals of the splits are one small table).  Binary formats are read by ranges of records.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from cloudframe.lineage import cut_lineage
+from cloudframe.sources import records
+
 C = F.col
-CHUNK = 100_000
-# Numeric types of the PLY format and the little-endian NumPy types they stand for.
-PLY_TYPES = {"char": "i1", "uchar": "u1", "short": "<i2", "ushort": "<u2", "int": "<i4", "uint": "<u4", "float": "<f4", "double": "<f8",
-             "int8": "i1", "uint8": "u1", "int16": "<i2", "uint16": "<u2", "int32": "<i4", "uint32": "<u4", "float32": "<f4", "float64": "<f8"}
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``file, line (0, 1, ..), t ARRAY<STRING>`` of all non-empty lines, in file order."""
     raw = spark.read.text(path).select(
         F.trim("value").alias("value"), C("_metadata.file_path").alias("file"), C("_metadata.file_block_start").alias("_at"),
@@ -106,71 +103,59 @@ def read_projection_matrix(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(C("file").alias("img_id"), F.transform(F.flatten(F.transform("_m", lambda r: r["t"])), lambda v: v.cast("double")).alias("m"))
 
 
-def _ply_header(data: bytes) -> tuple[str, int, list[tuple[str, str]], int]:
-    end = data.index(b"end_header")
-    end = data.index(b"\n", end) + 1
-    form, count, fields, element = "", 0, [], ""
-    for line in data[:end].decode("ascii").splitlines():
-        word = line.split()
-        if word[:1] == ["format"]:
-            form = word[1]
-        elif word[:1] == ["element"]:
-            element = word[1]
-            count = int(word[2]) if element == "vertex" else count
-        elif word[:1] == ["property"] and element == "vertex":
-            fields.append((word[2], PLY_TYPES[word[1]]))
-    return form, count, fields, end
-
-
-def read_ply(spark: SparkSession, path: str, attributes: tuple[str, ...] = ()) -> DataFrame:
-    """Vertices of ASCII and little-endian binary PLY files; ``reflectance`` becomes intensity, ``attributes`` are kept."""
+def _layouts(spark: SparkSession, path: str, kind: str, rejected: bool) -> tuple[list, list, DataFrame]:
+    """Layouts of the binary files, of the ASCII files (one short row per file each), and the table of rejected files."""
+    rows = cut_lineage(records.layouts(spark, path, kind))
+    bad = rows.where(C("error").isNotNull()).select("path", "error")
+    first = None if rejected else bad.first()
+    if first is not None:
+        raise ValueError(first["error"])
+    found = [(r["path"], r["file"], json.loads(r["layout"])) for r in rows.where(C("error").isNull()).orderBy("path").collect()]
+    return [f for f in found if f[2]["form"] == "binary"], [f for f in found if f[2]["form"] == "ascii"], bad
+
+
+def read_ply(spark: SparkSession, path: str, attributes: tuple[str, ...] = (), records_per_task: int = records.RANGE) -> DataFrame:
+    """Vertices of ASCII and little-endian binary PLY files; ``reflectance`` becomes intensity, ``attributes`` are kept.
+
+    Binary files are read by ranges of records, ASCII files by splits of lines, so one file may be read by many tasks.
+    """
+    binary, text, _ = _layouts(spark, path, "ply", False)
+    return _ply(spark, binary, text, attributes, records_per_task)
+
+
+def _ply(spark: SparkSession, binary: list, text: list, attributes: tuple[str, ...], records_per_task: int) -> DataFrame:
     names = ["x", "y", "z", "reflectance", *attributes]
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for file, data in zip(batch["path"], batch["content"]):
-                form, count, fields, end = _ply_header(data)
-                for at in range(0, count, CHUNK):
-                    n = min(CHUNK, count - at)
-                    if form == "ascii":
-                        if at == 0:
-                            rows = data[end:].split(b"\n", count)[:count]
-                        table = np.array([r.split() for r in rows[at:at + n]], dtype="f8")
-                        columns = {name: table[:, i] for i, (name, _) in enumerate(fields)}
-                    else:
-                        kind = np.dtype([(name, t) for name, t in fields])
-                        table = np.frombuffer(data, kind, n, end + at * kind.itemsize)
-                        columns = {name: table[name] for name, _ in fields}
-                    yield pd.DataFrame({"path": file, "point_id": np.arange(at, at + n), **{
-                        c: columns[c].astype("f8") if c in columns else np.full(n, np.nan) for c in names}})
-    schema = "path string, point_id long, " + ", ".join(f"`{n}` double" for n in names)
-    out = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, schema)
-    return out.withColumn("intensity", F.nanvl("reflectance", F.lit(None).cast("double"))).drop("reflectance")
-
-
-def read_las(spark: SparkSession, path: str) -> DataFrame:
-    """Coordinates, intensity and class of uncompressed LAS files (versions 1.0 to 1.4, point formats 0 to 10).
+    out = records.read_records(spark, [(p, layout) for p, _, layout in binary], names, records_per_task)
+    if text:
+        heads = spark.createDataFrame([(p, f, h["start"], h["count"], {n: v[0] for n, v in h["fields"].items()}) for p, f, h in text],
+                                      "path string, file string, _start long, _count long, _at map<string,int>")
+        lines = numbered_lines(spark, [p for p, _, _ in text]).join(heads, "file")
+        lines = lines.withColumn("point_id", C("line") - C("_start")).where((C("point_id") >= 0) & (C("point_id") < C("_count")))
+        out = out.unionByName(lines.select("path", "point_id", *(F.get("t", F.element_at("_at", F.lit(n))).cast("double").alias(n) for n in names)))
+    return out.withColumnRenamed("reflectance", "intensity")
+
+
+def read_las(spark: SparkSession, path: str, records_per_task: int = records.RANGE) -> DataFrame:
+    """Coordinates, intensity and class of uncompressed LAS files (versions 1.0 to 1.4, point formats 0 to 10), by ranges of records.
 
     Compressed or unknown formats raise an error instead of giving no rows.
     """
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for file, data in zip(batch["path"], batch["content"]):
-                start, length = (int(np.frombuffer(data, t, 1, o)[0]) for t, o in (("<u4", 96), ("<u2", 105)))
-                form, modern = data[104] & 0x3F, data[24:26] >= b"\x01\x04"
-                if data[104] & 0xC0 or form > 10:
-                    raise ValueError(f"{file}: not an uncompressed LAS file of point format 0 to 10")
-                count = int(np.frombuffer(data, "<u4", 1, 107)[0])
-                if modern:  # a 64-bit count; the old field may be 0
-                    count = int(np.frombuffer(data, "<u8", 1, 247)[0]) or count
-                at_class, mask = (16, 255) if form >= 6 else (15, 31)
-                scale, offset = np.frombuffer(data, "<f8", 3, 131), np.frombuffer(data, "<f8", 3, 155)
-                kind = np.dtype({"names": ["x", "y", "z", "i", "c"], "formats": ["<i4", "<i4", "<i4", "<u2", "u1"], "offsets": [0, 4, 8, 12, at_class], "itemsize": length})
-                for at in range(0, count, CHUNK):
-                    t = np.frombuffer(data, kind, min(CHUNK, count - at), start + at * length)
-                    yield pd.DataFrame({"path": file, "point_id": np.arange(at, at + len(t)), **{a: t[a] * scale[i] + offset[i] for i, a in enumerate("xyz")},
-                                        "intensity": t["i"].astype("f8"), "label": (t["c"] & mask).astype("i8")})
-    schema = "path string, point_id long, x double, y double, z double, intensity double, label long"
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, schema)
+    binary, _, _ = _layouts(spark, path, "las", False)
+    return _las(spark, binary, records_per_task)
+
+
+def _las(spark: SparkSession, binary: list, records_per_task: int) -> DataFrame:
+    out = records.read_records(spark, [(p, layout) for p, _, layout in binary], ["x", "y", "z", "intensity", "label"], records_per_task)
+    return out.withColumn("label", C("label").cast("long"))
+
+
+def read_many(spark: SparkSession, path: str, form: str, records_per_task: int = records.RANGE) -> tuple[DataFrame, DataFrame]:
+    """(points, rejected): all PLY or LAS files of a folder or glob, each point with its ``path``, and ``path, error`` of the
+    files whose header cannot be read, which do not stop the others."""
+    if form not in records.LAYOUTS:
+        raise ValueError(f"unknown format {form!r}")
+    binary, text, bad = _layouts(spark, path, form, True)
+    return (_ply(spark, binary, text, (), records_per_task) if form == "ply" else _las(spark, binary, records_per_task)), bad
 
 
 def load(spark: SparkSession, path: str, form: str | None = None, **options) -> DataFrame:

@@ -45,16 +45,43 @@ def test_ply(spark, tmp_path, form):
 
 def test_las(spark, tmp_path):
     header = bytearray(227)
+    header[:4] = b"LASF"
     struct.pack_into("<I", header, 96, 227)
     struct.pack_into("<BH", header, 104, 0, 20)
     struct.pack_into("<I", header, 107, 2)
     struct.pack_into("<6d", header, 131, 0.01, 0.01, 0.01, 100, 200, 0)
     record = lambda x, y, z, i, c: struct.pack("<iiiHBBBBH", x, y, z, i, 0, c, 0, 0, 0)
     (tmp_path / "p.las").write_bytes(bytes(header) + record(100, 200, 300, 7, 2) + record(-100, 0, 50, 9, 6))
+    (tmp_path / "broken.las").write_bytes(b"LAS")
+    (tmp_path / "packed.las").write_bytes(bytes(header[:104]) + b"\x80" + bytes(header[105:]))
+    points, rejected = readers.read_many(spark, str(tmp_path), "las", records_per_task=1)
+    assert points.rdd.getNumPartitions() == 2 and sorted((r.path[-5:], r.point_id, r.label) for r in points.collect()) == [("p.las", 0, 2), ("p.las", 1, 6)]
+    assert sorted(r.path.rsplit("/", 1)[1] for r in rejected.collect()) == ["broken.las", "packed.las"]
+    with pytest.raises(ValueError):
+        readers.read_las(spark, str(tmp_path))
     rows = readers.read_las(spark, str(tmp_path / "p.las")).orderBy("point_id").collect()
     assert [(r.x, r.y, r.z, r.intensity, r.label) for r in rows] == [(101.0, 202.0, 3.0, 7.0, 2), (99.0, 200.0, 0.5, 9.0, 6)]
 
 
+def test_ply_by_ranges(spark, tmp_path):
+    import numpy as np
+    n = 2_345
+    table = np.zeros(n, np.dtype([("x", "<f8"), ("flag", "u1"), ("y", "<f4"), ("z", "<i4")]))
+    table["x"], table["flag"], table["z"] = np.arange(n) / 2, np.arange(n) % 7, -np.arange(n)
+    head = (f"ply\nformat binary_little_endian 1.0\nelement vertex {n}\nproperty double x\nproperty uchar flag\nproperty float y\n"
+            "property int z\nelement face 1\nproperty list uchar int vertex_indices\nend_header\n")
+    (tmp_path / "a b.ply").write_bytes(head.encode() + table.tobytes() + b"\x03" + bytes(12))
+    (tmp_path / "t.ply").write_text("ply\nformat ascii 1.0\nelement vertex 1\nproperty float z\nproperty float y\nproperty float x\nend_header\n1 2 3\n9 9 9\n")
+    rows = readers.read_ply(spark, str(tmp_path), ("flag",), records_per_task=500)
+    got = {(r.path.rsplit("/", 1)[1], r.point_id): (r.x, r.z, r.intensity, r.flag) for r in rows.collect()}
+    want = {("a b.ply", i): (i / 2, -i, None, i % 7) for i in range(n)}
+    assert got == {**want, ("t.ply", 0): (3.0, 1.0, None, None)}
+    assert readers.read_ply(spark, str(tmp_path / "a*.ply"), records_per_task=500).rdd.getNumPartitions() == 5
+    (tmp_path / "short.ply").write_bytes(head.encode() + table.tobytes()[:100])
+    with pytest.raises(Exception, match="ends before record"):
+        readers.read_ply(spark, str(tmp_path / "short.ply")).collect()
+
+
 def test_stream_of_scans(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.xyz").write_text("p1 1 2 3\np2 4 5\n")
