@@ -109,3 +109,23 @@ def read_ptx(spark, sf):
     trace = poses.select(C("cloud_id").alias("_c"), sum((C("m")[i] for i in (5, 10, 15)), C("m")[0]).alias("trace"))
     named = rows.join(trace, C("cloud_id") == C("_c")).select(F.regexp_extract("path", "cloud_id=([^/]+)/", 1).alias("cloud_id"), F.regexp_extract("path", "scan=([0-9]+)/", 1).cast("int").alias("scan"), "y", "intensity", "trace")
     return named.groupBy("cloud_id", "scan").agg(F.count(F.lit(1)).alias("n"), q(F.sum("y"), 3).alias("sy"), F.sum("intensity").alias("si"), F.max("trace").alias("trace"))
+
+
+@query("read_many_ply", d.select_sql(d.PTS, f"""SELECT cloud_id, x::INT AS scan, count(*) AS n, {Q('sum(y)', 3)} AS sy, sum((intensity * 100)::INT)::DOUBLE AS si, false AS rejected
+FROM pts GROUP BY 1, 2 UNION ALL SELECT 'broken', 0, 0, NULL, NULL, true"""))
+def read_many_ply(spark, sf):
+    """One scan file per cloud and x, and one file without a header, which does not stop the rest."""
+    folder = _scratch(spark)
+    pts = d.points(spark, sf).withColumn("scan", C("x").cast("int"))
+    line = F.concat_ws(" ", F.round(C("intensity") * 100).cast("int"), "x", "y", "z")
+    scans = pts.groupBy("cloud_id", "scan").agg(F.count(F.lit(1)).alias("n"), F.concat_ws("\n", F.collect_list(line)).alias("rows"))
+    head = F.concat(F.lit("ply\nformat ascii 1.0\nelement vertex "), C("n").cast("string"),
+                    F.lit("\nproperty float reflectance\nproperty float x\nproperty float y\nproperty float z\nend_header\n"))
+    files = scans.select("cloud_id", "scan", F.concat(head, C("rows")).alias("value"))
+    broken = spark.createDataFrame([("broken", 0, "no scan at all")], "cloud_id string, scan int, value string")
+    files.unionByName(broken).repartition("cloud_id", "scan").write.partitionBy("cloud_id", "scan").text(folder)
+    points, rejected = readers.read_many(spark, f"{folder}/*/*", "ply")
+    sums = points.groupBy("path").agg(F.count(F.lit(1)).alias("n"), q(F.sum("y"), 3).alias("sy"), F.sum("intensity").alias("si"), F.lit(False).alias("rejected"))
+    none = rejected.select("path", F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("double").alias("sy"), F.lit(None).cast("double").alias("si"), F.lit(True).alias("rejected"))
+    both = sums.unionByName(none)
+    return both.select(F.regexp_extract("path", "cloud_id=([^/]+)/", 1).alias("cloud_id"), F.regexp_extract("path", "scan=([0-9]+)/", 1).cast("int").alias("scan"), "n", "sy", "si", "rejected")
