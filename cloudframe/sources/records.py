@@ -37,14 +37,16 @@ def open_file(path: str) -> pa.NativeFile:
 def las_layout(path: str) -> dict:
     """Where the records of a LAS file (versions 1.0 to 1.4, point formats 0 to 10) lie and what they hold."""
     with open_file(path) as file:
-        head = file.read_at(375, 0)
-    if head[:4] != b"LASF" or head[104] & 0xC0 or head[104] & 0x3F > 10:
+        head, length = file.read_at(375, 0), file.size()
+    if head[104] & 0xC0 or head[104] & 0x3F > 10:
         raise ValueError(f"{path}: not an uncompressed LAS file of point format 0 to 10")
     number = lambda kind, at: np.frombuffer(head, kind, 1, at)[0].item()
     count = number("<u4", 107)
     if head[24:26] >= b"\x01\x04":  # a 64-bit count; the old field may be 0
         count = number("<u8", 247) or count
     at_class, mask = (16, 255) if head[104] & 0x3F >= 6 else (15, 31)
+    if number("<u2", 105) <= at_class or number("<u4", 96) + count * number("<u2", 105) > length:
+        raise ValueError(f"{path}: too short for {count} records")
     scaled = {axis: [4 * i, "<i4", number("<f8", 131 + 8 * i), number("<f8", 155 + 8 * i)] for i, axis in enumerate("xyz")}
     return {"form": "binary", "start": number("<u4", 96), "size": number("<u2", 105), "count": count, "mask": mask,
             "fields": {**scaled, "intensity": [12, "<u2", 1.0, 0.0], "label": [at_class, "u1", 1.0, 0.0]}}

@@ -45,7 +45,6 @@ def test_ply(spark, tmp_path, form):
 
 def test_las(spark, tmp_path):
     header = bytearray(227)
-    header[:4] = b"LASF"
     struct.pack_into("<I", header, 96, 227)
     struct.pack_into("<BH", header, 104, 0, 20)
     struct.pack_into("<I", header, 107, 2)
