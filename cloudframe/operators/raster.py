@@ -73,7 +73,10 @@ def stencil(raster: DataFrame, offsets: dict[str, tuple[int, int]], column: str
 
 
 def conv2d(raster: DataFrame, kernel: Kernel, column: str = "value", out: str = "value", border: str = "zero", flip: bool = False) -> DataFrame:
-    """Correlation with a small kernel (convolution when ``flip``); the centre of an even kernel lies right and below."""
+    """Correlation with a small kernel (convolution when ``flip``); the centre of an even kernel lies right and below.
+
+    A cell none of whose taps meets a value is NULL.
+    """
     if flip:
         kernel = [row[::-1] for row in kernel[::-1]]
     h, w = len(kernel), len(kernel[0])
@@ -83,8 +86,8 @@ def conv2d(raster: DataFrame, kernel: Kernel, column: str = "value", out: str =
     sends = F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"), F.lit(v).alias("w"), F.lit(False).alias("own")) for r, c, v in taps),
                     F.struct(F.lit(0).alias("r"), F.lit(0).alias("c"), F.lit(0.0).alias("w"), F.lit(True).alias("own")))
     sent = ext.withColumn("_o", F.explode(sends)).select(
-        (C("row") - C("_o.r")).alias("row"), (C("col") - C("_o.c")).alias("col"), (C(column) * C("_o.w")).alias("_v"),
-        (C("_o.own") & C("inner")).alias("_own"))
+        (C("row") - C("_o.r")).alias("row"), (C("col") - C("_o.c")).alias("col"),
+        F.when(~C("_o.own"), C(column) * C("_o.w")).alias("_v"), (C("_o.own") & C("inner")).alias("_own"))
     sums = sent.groupBy("row", "col").agg(F.max("_own").alias("_here"), F.sum("_v").alias(out))
     return sums.where("_here").select("row", "col", out)
 
