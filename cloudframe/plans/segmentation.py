@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cloudframe.lineage import cut_lineage
 from cloudframe.operators import graph, segments
+from cloudframe.skew import lookup
 
 C = F.col
 
@@ -22,4 +23,4 @@ def surface_segments(points: DataFrame, leaf_size: int, smallest: float, neighbo
         return graph.segment_adjacency(current.select(C("key").alias("point_id"), C("segment").alias("label")), links)
     dissolved = cut_lineage(segments.dissolve_entrapped(tensors, found, adjacency(found), dominant, small, variance, distance))
     merged = segments.merge_dominant(tensors, dissolved, adjacency(dissolved), dominant)
-    return elements.select("point_id", C("key").alias("element")).join(merged.withColumnRenamed("key", "element"), "element")
+    return lookup(elements.select("point_id", C("key").alias("element")), merged.withColumnRenamed("key", "element"), ["element"])
