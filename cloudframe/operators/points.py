@@ -11,7 +11,7 @@ from cloudframe.operators.smoothing import extent
 from cloudframe.operators.tensors import PAIRS, moments
 from cloudframe.lineage import cut_lineage
 from cloudframe.ordering import global_rank
-from cloudframe.skew import salted
+from cloudframe.skew import lookup, salted
 
 C = F.col
 
@@ -186,7 +186,7 @@ def farthest_pair(points: DataFrame, directions: int = 16) -> DataFrame:
         level += 1
         step = C("_side") / 2.0 ** level
         cell = F.struct(F.floor((C("x") - C("_x0")) / step).alias("i"), F.floor((C("y") - C("_y0")) / step).alias("j"))
-        cells = (open_.join(bounds, "cloud_id").groupBy("cloud_id", cell.alias("c"))
+        cells = (lookup(open_, bounds, ["cloud_id"]).groupBy("cloud_id", cell.alias("c"))
                  .agg(F.min(F.struct("x", "y")).alias("p"), F.count(F.lit(1)).alias("n")))
         cells = cut_lineage(cells)
         mine = cells.select("cloud_id", C("c").alias("a"), C("p").alias("pa"), C("n").alias("na"))
@@ -198,23 +198,23 @@ def farthest_pair(points: DataFrame, directions: int = 16) -> DataFrame:
             pairs = pairs.withColumn("a", quarters("a")).withColumn("b", quarters("b")).join(mine, ["cloud_id", "a"]).join(other, ["cloud_id", "b"])
         gap = lambda k: F.abs(C(f"a.{k}") - C(f"b.{k}")) + 1
         reach = F.sqrt(gap("i") * gap("i") + gap("j") * gap("j")) * step * (1 + 1e-9)
-        pairs = cut_lineage(pairs.join(bounds.select("cloud_id", "_side"), "cloud_id")
+        pairs = cut_lineage(lookup(pairs, bounds.select("cloud_id", "_side"), ["cloud_id"])
                             .select("cloud_id", "a", "b", reach.alias("reach"), apart("pa", "pb").alias("d"), (C("na") * C("nb")).alias("n")))
         better = pairs.groupBy("cloud_id").agg(F.max("d").alias("_d"))
         bounds = cut_lineage(bounds.join(better, "cloud_id", "left").withColumn("best", F.greatest("best", F.coalesce("_d", F.lit(0.0)))).drop("_d"))
         # Of the quarters of one cell each pair is needed once.
         once = f"{int(level == 4)} = 1 OR shiftright(a.i, 1) <> shiftright(b.i, 1) OR shiftright(a.j, 1) <> shiftright(b.j, 1) OR a.i < b.i OR (a.i = b.i AND a.j <= b.j)"
-        pairs = cut_lineage(pairs.where(f"n > 1 AND ({once})").join(bounds.select("cloud_id", "best"), "cloud_id")
+        pairs = cut_lineage(lookup(pairs.where(f"n > 1 AND ({once})"), bounds.select("cloud_id", "best"), ["cloud_id"])
                             .where(C("reach") > C("best")).select("cloud_id", "a", "b", "n"))
         if (pairs.agg(F.sum("n")).first()[0] or 0) <= FEW_PAIRS:
-            inside = open_.join(bounds, "cloud_id").select("cloud_id", cell.alias("c"), F.struct("x", "y").alias("p"))
+            inside = lookup(open_, bounds, ["cloud_id"]).select("cloud_id", cell.alias("c"), F.struct("x", "y").alias("p"))
             left = inside.select("cloud_id", C("c").alias("a"), C("p").alias("pa"))
             right = inside.select("cloud_id", C("c").alias("b"), C("p").alias("pb"))
             found = pairs.join(left, ["cloud_id", "a"]).join(right, ["cloud_id", "b"]).groupBy("cloud_id").agg(F.max(apart("pa", "pb")).alias("_d"))
             return bounds.join(found, "cloud_id", "left").select("cloud_id", F.greatest("best", F.coalesce("_d", F.lit(0.0))).alias("dist"))
         pairs = pairs.drop("n")
         needed = pairs.select("cloud_id", C("a").alias("c")).union(pairs.select("cloud_id", C("b").alias("c"))).distinct()
-        inside = open_.join(bounds, "cloud_id").withColumn("c", cell).join(needed, ["cloud_id", "c"], "left_semi")
+        inside = lookup(open_, bounds, ["cloud_id"]).withColumn("c", cell).join(needed, ["cloud_id", "c"], "left_semi")
         open_ = cut_lineage(inside.select("cloud_id", "x", "y"))
 
 
