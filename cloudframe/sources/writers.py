@@ -8,6 +8,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cloudframe.skew import lookup
+
 C = F.col
 ROWS_PER_BLOCK = 1_000_000
 
@@ -20,7 +22,7 @@ def write_pts(points: DataFrame, path: str, rows_per_block: int = ROWS_PER_BLOCK
     extra = [c for c in ("intensity", "r", "g", "b") if c in points.columns]
     pattern = "\t".join(["%.3f"] * 3 + ["%d"] * len(extra))
     clouds = points.groupBy("cloud_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(rows_per_block))).alias("_parts"))
-    rows = points.join(clouds, "cloud_id").select("cloud_id", F.pmod(F.xxhash64("point_id"), C("_parts")).alias("block"), F.lit(1).alias("_o"),
+    rows = lookup(points, clouds, ["cloud_id"]).select("cloud_id", F.pmod(F.xxhash64("point_id"), C("_parts")).alias("block"), F.lit(1).alias("_o"),
         F.format_string(pattern, "x", "y", "z", *(C(c).cast("bigint") for c in extra)).alias("value"))
     counts = rows.groupBy("cloud_id", "block").agg(F.count(F.lit(1)).cast("string").alias("value")).select("cloud_id", "block", F.lit(0).alias("_o"), "value")
     out = counts.union(rows).repartition("cloud_id", "block").sortWithinPartitions("cloud_id", "block", "_o")
