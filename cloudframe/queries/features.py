@@ -13,6 +13,7 @@ from cloudframe.plans import point_features
 from cloudframe.queries import _data as d
 from cloudframe.queries.neighbourhoods import EDGES, RADIUS, per_point, position_edges
 from cloudframe.registry import Q, q, query
+from cloudframe.skew import lookup
 
 C = F.col
 EIGEN = [d.TENSORS, d.eigen_sql(vectors=True)]
@@ -172,7 +173,7 @@ SELECT point_id, {Q('plate', 4)} AS plate, {Q('stick', 4)} AS stick, {Q('ball',
 def distance_to_tensor(spark, sf):
     pts = d.points(spark, sf)
     tensor = linalg.with_eigen(tensors.moments(pts, ["cloud_id"])).select("cloud_id", "cx", "cy", "cz", "plate", "stick")
-    joined = pts.join(tensor, "cloud_id")
+    joined = lookup(pts, tensor, ["cloud_id"])
     delta = [C(a) - C(f"c{a}") for a in "xyz"]
     plate, stick = linalg.vector("plate"), linalg.vector("stick")
     return joined.select("point_id", *(q(features.distance_to_tensor(delta, plate, stick, kind), 4).alias(name) for kind, name in (
