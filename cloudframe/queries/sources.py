@@ -6,13 +6,16 @@ import uuid
 
 from pyspark.sql import SparkSession, functions as F
 
-from cloudframe.lineage import shared_folder
+from cloudframe.lineage import cut_lineage, shared_folder
 from cloudframe.operators import tensors
 from cloudframe.queries import _data as d
 from cloudframe.registry import Q, q, query
+from cloudframe.skew import lookup
 from cloudframe.sources import readers, writers
 
 C = F.col
+#: Raster rows in one grid file.
+GRID_ROWS = 1000
 
 
 def _scratch(spark: SparkSession) -> str:
@@ -65,27 +68,32 @@ def cached_table(spark, sf):
 @query("read_projection_matrix", f"""WITH m AS (SELECT s_suppkey AS camera, list_transform(range(12), lambda i: s_acctbal + i * 0.5::DOUBLE) AS m FROM supplier)
 SELECT camera, i::INT AS i, {Q('m[i + 1]')} AS value FROM (SELECT camera, m, unnest(range(12)) AS i FROM m)""")
 def read_projection_matrix(spark, sf):
-    """One camera file per supplier."""
+    """One camera per supplier, a line each, so that the number of files does not grow with the cameras."""
     folder = _scratch(spark)
     entry = lambda i: (C("s_acctbal") + i * 0.5).cast("string")
-    lines = F.concat_ws("\n", *(F.concat_ws(" ", *(entry(4 * r + c) for c in range(4))) for r in range(3)))
-    d.table(spark, sf, "supplier").select(C("s_suppkey").alias("camera"), lines.alias("value")).repartition("camera").write.partitionBy("camera").text(folder)
-    read = readers.read_projection_matrix(spark, f"{folder}/*/*")
-    return read.select(F.regexp_extract("img_id", "camera=([0-9]+)/", 1).cast("bigint").alias("camera"), F.posexplode("m").alias("i", "value")).select("camera", "i", q("value").alias("value"))
+    d.table(spark, sf, "supplier").select(F.concat_ws(" ", "s_suppkey", *(entry(i) for i in range(12)))).write.text(folder)
+    read = readers.read_projection_matrix(spark, folder)
+    return read.select(C("img_id").cast("bigint").alias("camera"), F.posexplode("m").alias("i", "value")).select("camera", "i", q("value").alias("value"))
 
 
 @query("read_asc_grid", d.select_sql(d.RASTER, f"""SELECT "row" AS grid, col, {Q('value')} AS value, 2.5::DOUBLE AS cellsize FROM raster"""))
 def read_asc_grid(spark, sf):
-    """One grid file of one line per raster row, voids as nodata."""
+    """One grid file per thousand raster rows, voids as nodata."""
     folder, raster = _scratch(spark), d.raster(spark, sf)
     width = raster.agg(F.max("col") + 1).first()[0] or 1
-    cells = raster.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("col", C("value").cast("string")))).alias("_m"))
+    lines = raster.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("col", C("value").cast("string")))).alias("_m"))
     line = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(C("_m")[i], F.lit("-9999"))), " ")
-    head = f"ncols {width}\nnrows 1\nxllcorner 0\nyllcorner 0\ncellsize 2.5\nNODATA_value -9999\n"
-    cells.select(C("row").alias("grid"), F.concat(F.lit(head), line).alias("value")).repartition("grid").write.partitionBy("grid").text(folder)
+    lines = cut_lineage(lines.select("row", F.floor(C("row") / GRID_ROWS).alias("block"), line.alias("value")))
+    blocks = lines.select("block").distinct()
+    places = blocks.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(GRID_ROWS - 1)))).withColumn("row", (C("block") * GRID_ROWS + C("_o")).cast("int"))
+    rows = places.join(lines.select("row", "value"), "row", "left").select("block", "_o", F.coalesce("value", F.lit(" ".join(["-9999"] * width))).alias("value"))
+    head = f"ncols {width}\nnrows {GRID_ROWS}\nxllcorner 0\nyllcorner 0\ncellsize 2.5\nNODATA_value -9999"
+    out = blocks.select("block", F.lit(-1).alias("_o"), F.lit(head).alias("value")).unionByName(rows).repartition("block").sortWithinPartitions("block", "_o")
+    out.select("block", "value").write.partitionBy("block").text(folder)
     read, meta = readers.read_asc_grid(spark, f"{folder}/*/*")
-    sized = read.join(meta.select(C("file").alias("raster_id"), "cellsize"), "raster_id")
-    return sized.select(F.regexp_extract("raster_id", "grid=([0-9]+)/", 1).cast("int").alias("grid"), C("col").cast("int").alias("col"), q("value").alias("value"), "cellsize")
+    sized = lookup(read, meta.select(C("file").alias("raster_id"), "cellsize"), ["raster_id"])
+    grid = F.regexp_extract("raster_id", "block=(-?[0-9]+)/", 1).cast("int") * GRID_ROWS + C("row")
+    return sized.select(grid.alias("grid"), C("col").cast("int").alias("col"), q("value").alias("value"), "cellsize")
 
 
 @query("read_normals", d.select_sql(d.PTS, f"SELECT count(*) AS n, {Q('sum(x)', 3)} AS sx, {Q('sum(y)', 3)} AS sy, {Q('sum(z)', 3)} AS sz FROM pts"))

@@ -11,6 +11,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from cloudframe.lineage import cut_lineage
+from cloudframe.skew import lookup
 from cloudframe.sources import records
 
 C = F.col
@@ -91,16 +92,20 @@ def read_asc_grid(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     header = lines.where(C("line") < 6).select("file", F.lower(C("t")[0]).alias("k"), C("t")[1].cast("double").alias("v"))
     meta = header.groupBy("file").agg(*(F.max(F.when(C("k") == k, C("v"))).alias(k) for k in ("ncols", "nrows", "xllcorner", "yllcorner", "cellsize")),
                                       F.max(F.when(C("k").startswith("nodata"), C("v"))).alias("nodata"))  # one row per file
+    meta = cut_lineage(meta)
     rows = lines.where(C("line") >= 6).select("file", (C("line") - 6).cast("int").alias("row"), F.posexplode("t").alias("col", "v"))
-    cells = rows.select("file", "row", "col", C("v").cast("double").alias("value")).join(meta.select("file", "nodata"), "file")
+    cells = lookup(rows.select("file", "row", "col", C("v").cast("double").alias("value")), meta.select("file", "nodata"), ["file"])
     return cells.where(C("nodata").isNull() | (C("value") != C("nodata"))).select(C("file").alias("raster_id"), "row", "col", "value"), meta
 
 
 def read_projection_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """3x4 camera matrices, one text file each: ``img_id, m ARRAY(12)``."""
-    lines = numbered_lines(spark, path).where(C("line") < 3)
-    rows = lines.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("line", "t"))).alias("_m"))
-    return rows.select(C("file").alias("img_id"), F.transform(F.flatten(F.transform("_m", lambda r: r["t"])), lambda v: v.cast("double")).alias("m"))
+    """3x4 camera matrices: ``img_id, m ARRAY(12)``.  A file holds one matrix of three lines (``img_id`` is the file) or any
+    number of lines of a name and twelve numbers (``img_id`` is the name, with or without a colon)."""
+    lines = numbered_lines(spark, path)
+    whole = lambda values: F.transform(values, lambda v: v.cast("double")).alias("m")
+    named = lines.where(F.size("t") == 13).select(F.rtrim(C("t")[0], F.lit(":")).alias("img_id"), whole(F.slice("t", 2, 12)))
+    rows = lines.where((C("line") < 3) & (F.size("t") != 13)).groupBy("file").agg(F.sort_array(F.collect_list(F.struct("line", "t"))).alias("_m"))
+    return rows.select(C("file").alias("img_id"), whole(F.flatten(F.transform("_m", lambda r: r["t"])))).unionByName(named)
 
 
 def _layouts(spark: SparkSession, path: str, kind: str, rejected: bool) -> tuple[list, list, DataFrame]:
