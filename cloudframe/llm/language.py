@@ -27,8 +27,8 @@ TABLE, WIDTH = 1 << 16, 24
 SAMPLE_PER_LANGUAGE, PARTS, PASSES = 400, 4, 2
 #: Words of a training sequence and of a piece of it: sequences are spliced from pieces of different documents.
 SEQUENCE, PIECE = 96, 32
-#: Words that are labelled at a time.
-WORDS_AT_ONCE = 1 << 20
+#: Letters that are labelled at a time (a longer text is taken alone): some 100 MB at most.
+LETTERS_AT_ONCE = 1 << 20
 UNKNOWN = "und"
 _WORD = regex.compile(rf"\p{{L}}{{1,{WIDTH}}}")
 
@@ -190,11 +190,19 @@ class Model:
         return lengths, words, gamma[place]
 
     def shares(self, texts: list[str]) -> np.ndarray:
-        """Mean label probabilities of each text; zeros without letters."""
-        lengths, _, gamma = self.tag(texts)
-        owner = np.repeat(np.arange(len(texts)), lengths)
-        sums = np.stack([np.bincount(owner, gamma[:, k], len(texts)) for k in range(len(self.labels))], axis=1)
-        return sums / np.maximum(lengths, 1)[:, None]
+        """Mean label probabilities of each text; zeros without letters.  Few texts are labelled at a time."""
+        out, i = np.zeros((len(texts), len(self.labels))), 0
+        while i < len(texts):
+            j, letters = i, 0
+            while j < len(texts) and (j == i or letters + len(texts[j]) <= LETTERS_AT_ONCE):
+                letters += len(texts[j])
+                j += 1
+            lengths, _, gamma = self.tag(texts[i:j])
+            owner = np.repeat(np.arange(j - i), lengths)
+            sums = np.stack([np.bincount(owner, gamma[:, k], j - i) for k in range(len(self.labels))], axis=1)
+            out[i:j] = sums / np.maximum(lengths, 1)[:, None]
+            i = j
+        return out
 
 
 def held_out(doc_id: Column) -> Column:
@@ -246,17 +254,11 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", lang: str
         for batch in batches:
             texts = [t.as_py() or "" for t in batch.column(at)]
             label, value = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            i = 0
-            while learned is not None and i < len(texts):
-                j, letters = i, 0
-                while j < len(texts) and (j == i or letters + len(texts[j]) <= 6 * WORDS_AT_ONCE):
-                    letters += len(texts[j])
-                    j += 1
-                shares = learned.shares(texts[i:j])
+            if learned is not None and texts:
+                shares = learned.shares(texts)
                 for k, best in enumerate(shares.argmax(axis=1)):
                     if shares[k, best] > 0:
-                        label[i + k], value[i + k] = learned.labels[best], min(1.0, float(shares[k, best]))
-                i = j
+                        label[k], value[k] = learned.labels[best], min(1.0, float(shares[k, best]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(label, pa.string()), pa.array(value, pa.float64())], names)
 
     schema = T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])

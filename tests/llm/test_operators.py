@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -223,6 +224,22 @@ def test_language_reads_letters_only_and_whole_words(spark, small):
     assert words == ["x" * 24, "x" * 6 + "y" * 18, "y" * 12, "ab"] and list(lengths) == [4]
 
 
+def test_language_labels_few_words_at_a_time():
+    """A batch of 3.6 million letters took 390 MB when all of it was labelled at once."""
+    rng = np.random.default_rng(5)
+    weights = rng.normal(size=(language.TABLE + 1, 4))
+    weights[-1] = 0
+    model = language.Model(list("abcd"), weights, rng.normal(size=(4, 4)), rng.normal(size=4))
+    texts = [" ".join(["ab", "cde", "fghij", "klm"][i] for i in rng.integers(0, 4, 900)) for _ in range(1000)]
+    tracemalloc.start()
+    shares = model.shares(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+    assert np.allclose(shares[::250], [model.shares([t])[0] for t in texts[::250]], atol=1e-12)
+    assert model.shares([]).shape == (0, 4)
+
+
 def test_language_of_odd_rows(odd, empty):
     model = language.fit(odd)
     found = language.identify(odd, model).collect()
