@@ -179,6 +179,15 @@ def test_repeated_strings_of_repeated_rows_and_ids(odd, empty):
     assert suffixes.remove_repeats(odd).count() == odd.count() and suffixes.remove_repeats(empty).count() == 0
 
 
+def test_bodies_around_sampled_places_need_no_second_search(monkeypatch):
+    data = bytes(random.Random(3).choices(b"abcd ", k=5000))
+    gram, place, first, last = suffixes.sampled(np.frombuffer(data, np.uint8), 400)
+    packed = suffixes._packed(place, first, last, 400)
+    monkeypatch.setattr(suffixes, "sampled", None)
+    found = [x[1:] for x in suffixes._around(data, packed.tolist()[::-1], 400)]
+    assert found == list(zip(gram.tolist(), packed.tolist(), place.tolist(), first.tolist(), last.tolist())) and len(found) > 10
+
+
 def test_sorting_on_disk_gives_the_same(monkeypatch):
     random.seed(1)
     right = sorted(bytes(random.choice(b"ab") for _ in range(12)) for _ in range(200))
