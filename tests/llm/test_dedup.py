@@ -188,6 +188,17 @@ def test_bodies_around_sampled_places_need_no_second_search(monkeypatch):
     assert found == list(zip(gram.tolist(), packed.tolist(), place.tolist(), first.tolist(), last.tolist())) and len(found) > 10
 
 
+@pytest.mark.parametrize("meeting", [1000, 2])
+def test_meetings_of_sets_are_whole_when_shingles_are_dealt_out(spark, monkeypatch, meeting):
+    monkeypatch.setattr(jaccard, "MEETING", meeting)
+    draw = random.Random(4)
+    keys = {i: sorted(draw.sample(range(40), draw.randint(0, 6))) + [99] * (i % 2) for i in range(60)}
+    rows = spark.createDataFrame([(i, len(k), k) for i, k in keys.items()], "_set long, _size int, _keys array<bigint>")
+    number = Counter(k for ks in keys.values() for k in ks)
+    want = sorted((k, i, len(ks), at) for i, ks in keys.items() for at, k in enumerate(ks) if number[k] > 1)
+    assert sorted(tuple(r) for r in jaccard._meetings(rows, rows).collect()) == want
+
+
 def test_sorting_on_disk_gives_the_same(monkeypatch):
     random.seed(1)
     right = sorted(bytes(random.choice(b"ab") for _ in range(12)) for _ in range(200))
