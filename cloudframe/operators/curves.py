@@ -7,6 +7,7 @@ before.
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -16,6 +17,8 @@ from cloudframe.lineage import cut_lineage
 
 C = F.col
 BLOCK = 65_536
+#: Rounds whose vertices are put together at a time.
+ROUNDS = 16
 
 
 def _dims(curves: DataFrame) -> list[str]:
@@ -242,7 +245,7 @@ def simplify_curve(curves: DataFrame, epsilon: float) -> DataFrame:
     """
     v = F.struct("seq", "x", "y")
     ends = curves.groupBy("curve_id").agg(F.min_by(v, "seq").alias("_a"), F.max_by(v, "seq").alias("_b"))
-    kept = cut_lineage(ends.select("curve_id", C("_a.seq").alias("seq")).union(ends.select("curve_id", C("_b.seq"))).distinct())
+    kept = [ends.select("curve_id", C("_a.seq").alias("seq")).union(ends.select("curve_id", C("_b.seq"))).distinct()]
     open_ = cut_lineage(curves.select("curve_id", "seq", "x", "y").join(ends, "curve_id").where((C("seq") > C("_a.seq")) & (C("seq") < C("_b.seq"))))
     while not open_.isEmpty():
         far = point_line_distance([C("x"), C("y")], [C("_a.x"), C("_a.y")], [C("_b.x"), C("_b.y")])
@@ -250,12 +253,14 @@ def simplify_curve(curves: DataFrame, epsilon: float) -> DataFrame:
         split = open_.withColumn("_d", far).groupBy("curve_id", C("_a.seq").alias("_s")).agg(
             F.max(F.struct("_d", (-C("seq")).alias("k"), v.alias("v"))).alias("_m")).where((C("_m._d") >= epsilon) & (C("_m._d") > 0))
         split = cut_lineage(split.select("curve_id", "_s", C("_m.v").alias("_v")))
-        kept = cut_lineage(kept.union(split.select("curve_id", C("_v.seq"))))
+        kept.append(split.select("curve_id", C("_v.seq")))
+        if len(kept) == ROUNDS:
+            kept = [cut_lineage(functools.reduce(DataFrame.union, kept))]
         joined = open_.withColumn("_s", C("_a.seq")).join(split, ["curve_id", "_s"]).where(C("seq") != C("_v.seq"))
         left = C("seq") < C("_v.seq")
         open_ = cut_lineage(joined.select("curve_id", "seq", "x", "y", F.when(left, C("_a")).otherwise(C("_v")).alias("_a"),
                                           F.when(left, C("_v")).otherwise(C("_b")).alias("_b")))
-    return curves.join(kept, ["curve_id", "seq"], "left_semi")
+    return curves.join(functools.reduce(DataFrame.union, kept), ["curve_id", "seq"], "left_semi")
 
 
 def curve_cross_correlation(a: DataFrame, b: DataFrame, pairs: DataFrame, max_lag: int) -> DataFrame:
