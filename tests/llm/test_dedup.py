@@ -4,7 +4,9 @@ import hashlib
 import random
 import re
 import string
+import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -12,6 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from cloudframe.lineage import cut_lineage
 from cloudframe.llm import common, exact, graph, jaccard, queries, simhash, suffixes
 
 from .conftest import SMALL
@@ -280,3 +283,42 @@ def test_near_duplicates_are_those_of_the_stage_rule(spark, monkeypatch, pairs):
     want = set(brute_near(texts))
     assert {x.doc_id for x in corpus_pipeline.near_dedup(spark, df, None).collect()} == want
     assert len(set(brute_components({i: brute_fingerprint(t) for i, t in enumerate(texts)}).values())) > len(want)
+
+
+def shuffle_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {f.name for folder in folders for f in Path(folder.getPath()).rglob("shuffle_*.data")}
+
+
+def test_shuffle_files_go_when_a_table_is_written_or_checkpointed(spark):
+    before, name = shuffle_files(spark), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = spark.conf.get(name)
+    numbers = spark.range(20_000).groupBy((F.col("id") % 5000).alias("k")).count()
+    kept = [cut_lineage(numbers), common.written(numbers, "test")[0], cut_lineage(numbers)]
+    assert [x.agg(F.sum("count")).first()[0] for x in kept] == [20_000] * 3 and spark.conf.get(name) == setting
+    kept = [cut_lineage(numbers.withColumn("n", F.lit(i))) for i in range(3)]
+    for _ in range(50):  # files are deleted in the background
+        if len(left := shuffle_files(spark) - before) <= 3 * 4:  # those of the three sums above
+            break
+        time.sleep(0.1)
+    assert len(left) <= 3 * 4
+
+
+def test_rows_are_found_again_in_one_move(spark):
+    text = [(None, "a"), (None, "a"), (None, None), (1, "a"), (1, "b"), (1, "b"), (2, "c"), (None, "z")]
+    docs = spark.createDataFrame(text, "doc_id long, text string")
+    chosen = docs.where("text is null or text <> 'z'").where("doc_id is null or doc_id < 2").select(F.col("doc_id").alias("_id"), common.text_key("text").alias("_hash"))
+    found = common.rows_of(docs, chosen, "doc_id", "text", once=True)
+    assert Counter(tuple(r) for r in found.collect()) == Counter({(None, "a"), (None, None), (1, "a"), (1, "b")})
+    assert Counter(tuple(r) for r in common.rows_of(docs, chosen, "doc_id", "text").collect()) == Counter(text[:6])
+    plan = common.rows_of(docs, chosen.hint("merge"), "doc_id", "text", once=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # the rows, and those named
+
+
+def test_sets_are_sent_once_for_both_sides(spark):
+    pairs = spark.createDataFrame([(a, b) for a in range(20) for b in range(a + 1, 20)], "a bigint, b bigint").hint("merge")
+    whole = spark.createDataFrame([(i, bytes([i])) for i in range(20)], "_set bigint, _all binary").hint("merge")
+    hot = jaccard._hot_sets(pairs)
+    got = jaccard._with_sets(jaccard._with_sets(pairs, pairs, whole, "_all", "a", "b", hot), pairs, whole, "_all", "b", "a", hot)
+    assert sorted((r.a, r.b, bytes(r._a), bytes(r._b)) for r in got.collect()) == [(a, b, bytes([a]), bytes([b])) for a in range(20) for b in range(a + 1, 20)]
+    assert "ReusedExchange" in got._jdf.queryExecution().executedPlan().toString()
