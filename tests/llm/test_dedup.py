@@ -322,3 +322,15 @@ def test_sets_are_sent_once_for_both_sides(spark):
     got = jaccard._with_sets(jaccard._with_sets(pairs, pairs, whole, "_all", "a", "b", hot), pairs, whole, "_all", "b", "a", hot)
     assert sorted((r.a, r.b, bytes(r._a), bytes(r._b)) for r in got.collect()) == [(a, b, bytes([a]), bytes([b])) for a in range(20) for b in range(a + 1, 20)]
     assert "ReusedExchange" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_near_groups_of_copies_with_many_edits(spark, monkeypatch):
+    """Copies with so many edits that most pairs are not similar: a chain connects them, and not all pairs are compared."""
+    monkeypatch.setattr(jaccard, "PAIRS", 0)
+    compared, verified = [], jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, *rest: (compared.append(pairs.distinct().count()), verified(pairs, *rest))[1])
+    r = random.Random(8)
+    texts = edited(r, 240, 5, [f"w{i}" for i in range(150)])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x.doc_id for x in corpus_pipeline.near_dedup(spark, df, None).collect()} == set(brute_near(texts))
+    assert sum(compared) < 240 * 239 / 2 / 2
